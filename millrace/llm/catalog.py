@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe
+from millrace.llm import byte_bpe, leakage
 
-_MODULES = (byte_bpe,)
+_MODULES = (byte_bpe, leakage)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
