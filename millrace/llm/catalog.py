@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.llm import byte_bpe, leakage, residue
+from millrace.llm import byte_bpe, leakage, lookalike, residue
 
-_MODULES = (byte_bpe, leakage, residue)
+_MODULES = (byte_bpe, leakage, lookalike, residue)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
