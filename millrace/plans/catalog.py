@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import messages
+from millrace.plans import corpus, index, keyed, messages
 
-_MODULES = (messages,)
+_MODULES = (messages, corpus, keyed, index)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
-FLAGSHIP = messages.p1_found
+FLAGSHIP = index.search_topk
