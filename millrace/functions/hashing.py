@@ -25,6 +25,19 @@ def fnv32(text: Column) -> Column:
     return F.aggregate(utf16_units(text), F.lit(0x811C9DC5).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * 0x01000193).bitwiseAND(F.lit(_MASK)))
 
 
+def fnv_quarters(text: Column, prefixes: list[str]) -> list[Column]:
+    """The low two bits of ``fnv32`` of each prefix before the text, in one pass over the text: these bits depend on nothing but the low
+    two bits of the state, so the pass carries where each of the four states leads."""
+    states = F.aggregate(utf16_units(text), F.array(*[F.lit(i).cast("bigint") for i in range(4)]), lambda s, c: F.transform(s, lambda h: (h.bitwiseXOR(c) * 3).bitwiseAND(F.lit(3))))
+    out = []
+    for prefix in prefixes:
+        state = 0x811C9DC5 & 3
+        for unit in prefix:
+            state = (state ^ ord(unit)) * 3 & 3
+        out.append(F.element_at(states, state + 1))
+    return out
+
+
 def mixed32(text: Column) -> Column:
     """The second hash, always odd. The multiplier is applied in halves, as the whole product would overflow a BIGINT."""
     times = 0x85EBCA6B
@@ -47,9 +60,8 @@ def bloom_size(tokens: Column, least: int, most: int, bits_per_token: int = 10)
     return size
 
 
-def bloom_positions(token: Column, bits: Column, hashes: int = 4) -> Column:
-    """The bit positions of a token in a filter of ``bits`` (a power of two)."""
-    a, b = fnv32(token), mixed32(token)
+def bloom_positions(a: Column, b: Column, bits: Column, hashes: int = 4) -> Column:
+    """The bit positions of a token with hashes ``a`` and ``b`` in a filter of ``bits`` (a power of two)."""
     return F.array(*[(a + b * i).bitwiseAND(bits - 1) for i in range(hashes)])
 
 

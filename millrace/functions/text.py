@@ -65,13 +65,16 @@ def routing_tokens(text: Column, normalize: bool = True) -> Column:
     plain = F.lower(nfkc(text) if normalize else text)
     runs = F.regexp_extract_all(F.coalesce(plain, F.lit("")), F.lit(r"\p{IsHan}+|[\p{L}\p{N}]+"), F.lit(0))
 
+    none = F.array().cast("array<string>")
+
     def tokens(run: Column) -> Column:
         n = F.length(run)
         units = F.octet_length(F.encode(run, "UTF-16BE")) / 2
-        parts = lambda size, mark: F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.concat(F.lit(mark), F.substring(run, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
-        one = lambda when, mark: F.when(when, F.array(F.concat(F.lit(mark), run))).otherwise(F.array().cast("array<string>"))
+        # a look-ahead finds the overlapping parts in one pass
+        parts = lambda size, mark: F.transform(F.regexp_extract_all(run, F.lit(f"(?=(.{{{size}}}))"), F.lit(1)), lambda p: F.concat(F.lit(mark), p))
+        one = lambda when, mark: F.when(when, F.array(F.concat(F.lit(mark), run))).otherwise(none)
         han = F.concat(one(n == 1, "c:"), parts(2, "c2:"), one((n >= 2) & (n <= 8), "cw:"))
-        other = F.concat(one(units >= 2, "w:"), F.when(units >= 4, parts(3, "g:")).otherwise(F.array().cast("array<string>")))
+        other = F.concat(one(units >= 2, "w:"), F.when(units >= 4, parts(3, "g:")).otherwise(none))
         return F.when(run.rlike(r"^\p{IsHan}+$"), han).otherwise(other)
 
     return F.array_distinct(F.flatten(F.transform(runs, tokens)))

@@ -29,15 +29,13 @@ def current_pages(pages: DataFrame) -> DataFrame:
 def sharded_records(pages: DataFrame) -> DataFrame:
     """All records of the pages with their ``shard``: kind, category, page_group, record_id, the record's fields, chars and shard."""
     now = write_shared(current_pages(pages), "pages")
-    core = core_records(now).withColumn("kind", F.lit("core")).withColumn("key", F.col("url")).withColumn("owner", F.col("category")).withColumn("section_no", F.lit(0)).withColumn("chunk_no", F.lit(0))
-    body = body_records(now).withColumn("kind", F.lit("body")).withColumn("owner", F.col("page_group")).withColumn("chars", F.length(record_text()))
-    parts = record_parts(body, "page_id", ["section_no", "chunk_no"], "chars")
-    many = parts.groupBy("page_id").agg((F.max("part") > 0).alias("several"))
-    page = F.split_part("url", F.lit("#"), F.lit(1))
-    body = parts.join(many, "page_id").withColumn("key", F.when(F.col("several"), F.concat_ws("|", page, "part")).otherwise(page))
-    core = core.withColumn("chars", F.length(record_text()))
-    columns = ["kind", "owner", "key", "page_id", "category", "page_group", "section_no", "chunk_no", *_FIELDS, "chars"]
-    records = write_shared(core.select(*columns).unionByName(body.select(*columns)), "records")
+    core = core_records(now).withColumns({"kind": F.lit("core"), "owner": F.col("category"), "key": F.col("url"), "section_no": F.lit(0), "chunk_no": F.lit(0)})
+    body = body_records(now).withColumns({"kind": F.lit("body"), "owner": F.col("page_group"), "key": F.split_part("url", F.lit("#"), F.lit(1))})
+    columns = ["kind", "owner", "key", "page_id", "category", "page_group", "section_no", "chunk_no", *_FIELDS]
+    records = write_shared(core.select(*columns).unionByName(body.select(*columns)).withColumn("chars", F.length(record_text())), "records")
+    large = records.where("kind = 'body'").groupBy("page_id").agg(F.sum("chars").alias("n")).where(F.col("n") > BODY_CHARS).select("page_id")
+    parts = record_parts(records.where("kind = 'body'").join(large, "page_id", "left_semi"), "page_id", ["section_no", "chunk_no"], "chars").select(F.lit("body").alias("kind"), "page_id", "section_no", "chunk_no", "part")
+    records = records.join(parts, ["kind", "page_id", "section_no", "chunk_no"], "left").withColumn("key", F.concat_ws("|", "key", "part")).drop("part")
     placed = None
     for kind, target in (("core", CORE_CHARS), ("body", BODY_CHARS)):
         units = records.where(F.col("kind") == kind).groupBy("owner", "key").agg(F.sum("chars").alias("chars"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import fnv32
+from millrace.functions.hashing import fnv32, fnv_quarters
 
 #: Code points of a shard of core and of body records; levels of hashing.
 CORE_CHARS, BODY_CHARS, LEVELS = 300_000, 650_000, 12
@@ -22,7 +22,7 @@ SOFT, WARN, HARD = 10_000_000, 15_000_000, 25_000_000
 def stable_shards(units: DataFrame, target: int) -> DataFrame:
     """``owner``, ``key``, ``chars`` and ``shard_key`` of each unit. Keys should be unique in an owner; units of one key stay together until
     the hash levels are used up, then they are halved by order."""
-    digits = F.concat(*[(fnv32(F.concat(F.lit(f"{d}:"), F.col("key"))).bitwiseAND(F.lit(3))).cast("string") for d in range(LEVELS)])
+    digits = F.concat(*[q.cast("string") for q in fnv_quarters(F.col("key"), [f"{d}:" for d in range(LEVELS)])])
     levels = units.select("owner", "key", "chars", digits.alias("digits")).select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).withColumn("prefix", F.expr("substring(digits, 1, level)"))
     parts = levels.groupBy("owner", "prefix").agg(F.sum("chars").alias("total"), F.count("*").alias("n"))
     paths = levels.join(parts, ["owner", "prefix"]).groupBy("owner", "key", "chars", "digits").agg(F.array_sort(F.collect_list(F.struct("level", "total", "n"))).alias("path"))
