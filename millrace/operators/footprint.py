@@ -18,7 +18,7 @@ def largest(files: DataFrame, n: int, size: str, *ties: str) -> DataFrame:
 
 def total(files: DataFrame, name: str, size: str = "size") -> DataFrame:
     """One row: ``files``, ``bytes``, and the name and size of the largest file (of equal ones the first name)."""
-    best = F.min(F.struct((-F.col(size)).alias("s"), F.col(name).alias("n")))
+    best = F.min(F.when(F.col(size).isNotNull(), F.struct((-F.col(size)).alias("s"), F.col(name).alias("n"))))
     return files.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), best["n"].alias("largest_name"), (-best["s"]).alias("largest_bytes"))
 
 
