@@ -51,20 +51,19 @@ def run_latest(stream: DataFrame, folder: str, key: list[str], order: list[Colum
     return spark.read.parquet(now) if now else spark.createDataFrame([], stream.schema)
 
 
-def versions(stream: DataFrame, key: str, checksum: str) -> DataFrame:
+def versions(stream: DataFrame, key: str, checksum: str, order: str) -> DataFrame:
     """``key``, ``checksum`` and ``version`` (from 1) of each content that is new for its key: a row with the checksum of the version before is skipped.
-    State is one number and one checksum a key."""
+    Rows of a micro-batch are taken by ``order``, which bounds what is sorted at once; state is one number and one checksum a key."""
     schema = f"{key} string, {checksum} string, version int"
 
     def step(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, last = state.get if state.exists else (0, "")
         rows = []
-        for batch in batches:
-            for value in batch[checksum]:
-                if value is not None and value != last:
-                    number, last = number + 1, value
-                    rows.append((own[0], value, number))
+        for value in pd.concat(list(batches)).sort_values([order, checksum], kind="stable")[checksum]:
+            if value is not None and value != last:
+                number, last = number + 1, value
+                rows.append((own[0], value, number))
         state.update((number, last))
         yield pd.DataFrame(rows, columns=[key, checksum, "version"])
 
-    return stream.select(key, checksum).groupBy(key).applyInPandasWithState(step, schema, "version int, checksum string", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, checksum, order).groupBy(key).applyInPandasWithState(step, schema, "version int, checksum string", "append", GroupStateTimeout.NoTimeout)

@@ -76,5 +76,5 @@ def test_streams(spark, tmp_path):
     assert sorted(r[0] for r in once.collect()) == ["a", "b", "c"]
     latest = messages.run_latest(stream().drop("id", "at"), f"file://{tmp_path}/latest", ["task"], [F.col("version"), F.col("checksum")], f"t2-{tmp_path.name}")
     assert sorted((r.task, r.version) for r in latest.collect()) == [("t", 3), ("u", 1)]
-    numbered = messages.run_to_table(messages.versions(stream(), "task", "checksum"), f"t3-{tmp_path.name}")
+    numbered = messages.run_to_table(messages.versions(stream(), "task", "checksum", "version"), f"t3-{tmp_path.name}")
     assert sorted((r.task, r.version) for r in numbered.collect()) == [("t", 1), ("t", 2), ("u", 1)]
