@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.exactly_once import event_key
 from millrace.plans.messages import _IDENTIFIED
-from millrace.sources.shared import shared_dir
+from millrace.sources.shared import remove_at_exit, shared_dir
 from millrace.sources.tables import table
 from millrace.streaming import messages
 
@@ -23,14 +23,18 @@ def stream_once(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct messages, by a stream over the deliveries."""
     key = event_key(*(F.col(c) for c in ("event_id", "owner_id", "task_record_id", "checksum")))
     own = messages.once(_stream(spark, folder, "task_enrich_events"), key, "received_at", "60 days").select(F.col("_key").alias("event_id"))
-    return messages.run_to_table(own, f"once-{uuid.uuid4().hex}")
+    name = f"once-{uuid.uuid4().hex}"
+    remove_at_exit(spark, f"{shared_dir(spark)}/stream-{name}")
+    return messages.run_to_table(own, name)
 
 
 def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The last job of each task, kept by a stream of jobs."""
-    name = uuid.uuid4().hex
+    name = f"latest-{uuid.uuid4().hex}"
+    for part in ("stream-", ""):
+        remove_at_exit(spark, f"{shared_dir(spark)}/{part}{name}")
     rows = _stream(spark, folder, "publish_jobs").select("task", "version", "id", "status", "updated")
-    return messages.run_latest(rows, f"{shared_dir(spark)}/latest-{name}", ["task"], [F.col("version"), F.col("updated"), F.col("id")], name)
+    return messages.run_latest(rows, f"{shared_dir(spark)}/{name}", ["task"], [F.col("version"), F.col("updated"), F.col("id")], name)
 
 
 QUERIES = {"stream_once": stream_once, "stream_latest": stream_latest}

@@ -36,10 +36,15 @@ def write_shared(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver's Python ends, if the session still lives then."""
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove_all() -> None:

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,14 +68,14 @@ def test_streams(spark, tmp_path):
     schema = "id string, at timestamp, task string, checksum string, version int"
     at = "2026-01-0{} 00:00:00"
     batches = [[("A ", at.format(1), "t", "x", 1), ("b", at.format(1), "u", "y", 1)], [("a", at.format(2), "t", "x", 2), ("c", at.format(2), "t", "z", 3)], [("b", at.format(3), "u", "y", 1)]]
-    source = tmp_path / "in"
+    source, run = tmp_path / "in", uuid.uuid4().hex
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
         assert i < 3
     stream = lambda: messages.file_stream(spark, str(source), spark.read.parquet(str(source)).schema)
-    once = messages.run_to_table(messages.once(stream(), proper(F.col("id")), "at", "30 days").select("_key"), f"t1-{tmp_path.name}")
+    once = messages.run_to_table(messages.once(stream(), proper(F.col("id")), "at", "30 days").select("_key"), f"t1-{run}")
     assert sorted(r[0] for r in once.collect()) == ["a", "b", "c"]
-    latest = messages.run_latest(stream().drop("id", "at"), f"file://{tmp_path}/latest", ["task"], [F.col("version"), F.col("checksum")], f"t2-{tmp_path.name}")
+    latest = messages.run_latest(stream().drop("id", "at"), f"file://{tmp_path}/latest", ["task"], [F.col("version"), F.col("checksum")], f"t2-{run}")
     assert sorted((r.task, r.version) for r in latest.collect()) == [("t", 3), ("u", 1)]
-    numbered = messages.run_to_table(messages.versions(stream(), "task", "checksum", "version"), f"t3-{tmp_path.name}")
+    numbered = messages.run_to_table(messages.versions(stream(), "task", "checksum", "version"), f"t3-{run}")
     assert sorted((r.task, r.version) for r in numbered.collect()) == [("t", 1), ("t", 2), ("u", 1)]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import checks, hashing, markdown, paths, text
+from millrace.operators.bloom_index import hash_tokens
 
 
 def one(spark, value, make, kind="string"):
@@ -43,6 +44,8 @@ def test_hashes(spark):
     got = df.select("v", hashing.fnv32(F.col("v")), hashing.mixed32(F.col("v"))).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == {v: python_hashes(v) for v in values}
     assert python_hashes("w:pipeline") == (3194441474, 3956717473)
+    a, b = hash_tokens(values)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [python_hashes(v) for v in values] and len(hash_tokens([])[0]) == 0
     digits = df.select("v", *hashing.fnv_quarters(F.col("v"), ["0:", "11:"])).collect()
     assert all((r[1], r[2]) == (python_hashes("0:" + r[0])[0] & 3, python_hashes("11:" + r[0])[0] & 3) for r in digits)
     assert one(spark, 1700, lambda v: hashing.bloom_size(v, 16384, 65536), "int") == 32768
