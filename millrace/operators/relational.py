@@ -91,6 +91,12 @@ def required(left: DataFrame, right: DataFrame, key: list[str], what: str) -> Da
     return found.where(F.coalesce("_found", F.raise_error(F.lit(f"{what} is missing")).cast("boolean"))).drop("_found")
 
 
+def unique(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row: ``n`` rows, ``n_keys`` distinct keys and whether they are as many (``is_unique``)."""
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    return counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count("*").alias("n_keys")).withColumn("is_unique", F.col("n") == F.col("n_keys"))
+
+
 def only_candidate(rows: DataFrame, recent: Column, id_column: str) -> DataFrame:
     """The id of the one recent row, if there is exactly one; no row if there is none or several."""
     return rows.where(recent).agg(F.count("*").alias("n"), F.min(id_column).alias(id_column)).where("n = 1").select(id_column)

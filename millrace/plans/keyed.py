@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import checks, paths, text
+from millrace.functions import checks, lists, paths, text
 from millrace.operators import cards, footprint, relational, trees
 from millrace.operators.exactly_once import event_key
 from millrace.operators.merge import round_robin
@@ -207,6 +207,24 @@ def merged_lists(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("category", "url", F.col("merged_rank").cast("bigint").alias("merged_rank"))
 
 
+def page_urls_unique(spark: SparkSession, folder: str) -> DataFrame:
+    return relational.unique(table(spark, folder, "doc_pages"), ["url"])
+
+
+def job_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What came of the jobs of each owner, where versions stand for tries."""
+    jobs = table(spark, folder, "publish_jobs").select("id", "owner", "status", "version").distinct()
+    return lists.outcome(jobs, ["owner"], "status", "published", "failed", F.col("version"), 3)
+
+
+def owner_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """For each task whether its two titles hold the same words, and the words of both in order."""
+    words = lambda c: F.split(F.coalesce(c, F.lit("")), " ")
+    own = table(spark, folder, "aw_tasks")
+    a, b = words(F.col("title")), words(F.col("manual_title"))
+    return own.select("id", lists.same_items(a, b).alias("same"), F.array_join(lists.merged_order(a, b), " ").alias("words"), F.array_join(lists.with_item(F.array("owner"), F.col("id")), " ").alias("ids"))
+
+
 def user_countdown(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("event_id", text.countdown((F.unix_seconds(F.lit("2024-06-01 00:00:00").cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp")))).alias("c")).select("event_id", "c.days", "c.hours", "c.minutes", "c.seconds")
 
@@ -220,7 +238,7 @@ QUERIES = {
     for f in (
         size_buckets, extension_buckets, largest_files, file_total, duplicate_groups, top_duplicates, redundant_bytes, prune_total, copy_check, tasks_with_jobs, tasks_without_jobs, task_memberships, latest_job, next_version,
         only_recent_job, event_ids, trigger_checks, artifact_keys, upsert_plan, merged_jobs, status_swap, batch_plan, recent_documents, display_titles, publish_keys, region_rollup, nested_tree, tree_nodes, card_modules, module_gaps,
-        sense_shares, card_tones, study_views, first_meanings, merged_lists, user_countdown,
+        sense_shares, card_tones, study_views, first_meanings, merged_lists, user_countdown, page_urls_unique, job_outcomes, owner_titles,
     )
 }
 SQL = {
@@ -259,5 +277,8 @@ SELECT u AS url, (x.title IS NOT DISTINCT FROM y.title AND x.description IS NOT
     "study_views": "SELECT card_id, mode, mode <> 'dictation' AS shows_word, mode <> 'translation' AS shows_meanings FROM word_cards, (SELECT unnest(['full', 'compact', 'dictation', 'translation']) AS mode)",
     "first_meanings": "SELECT card_id, CASE WHEN meanings IS NOT NULL THEN len(list_filter(meanings, lambda m: coalesce(m.key, false))) > 0 END AS any_key, CASE WHEN meanings IS NOT NULL THEN len(list_filter(meanings, lambda m: coalesce(m.phrase, false))) = len(meanings) END AS all_phrases, meanings[1].pos AS first_pos FROM word_cards",
     "merged_lists": "WITH l AS (SELECT category, url, 0 AS list_no, row_number() OVER (PARTITION BY category ORDER BY updated DESC, page_id) AS place FROM doc_pages UNION ALL SELECT category, url, 1, row_number() OVER (PARTITION BY category ORDER BY title, page_id) FROM doc_pages), t AS (SELECT * FROM l WHERE place <= 100), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY category, url ORDER BY place, list_no) = 1) SELECT category, url, row_number() OVER (PARTITION BY category ORDER BY place, list_no) AS merged_rank FROM f QUALIFY merged_rank <= 36",
+    "page_urls_unique": "SELECT count(*) AS n, count(DISTINCT url) AS n_keys, count(*) = count(DISTINCT url) AS is_unique FROM doc_pages",
+    "job_outcomes": "SELECT owner, CASE WHEN bool_or(coalesce(status = 'failed', false)) THEN 'failed' WHEN bool_and(coalesce(status = 'published', false)) THEN 'completed' WHEN max(version) >= 3 THEN 'expired' ELSE 'waiting' END AS outcome, count(*) AS n_jobs FROM (SELECT DISTINCT id, owner, status, version FROM publish_jobs) GROUP BY owner",
+    "owner_titles": "WITH w AS (SELECT id, owner, string_split(coalesce(title, ''), ' ') AS a, string_split(coalesce(manual_title, ''), ' ') AS b FROM aw_tasks) SELECT id, list_sort(a) = list_sort(b) AS same, array_to_string(list_transform(list_filter(list_zip(list_concat(a, b), range(1, len(a) + len(b) + 1)), lambda z: list_position(list_concat(a, b), z[1]) = z[2]), lambda z: z[1]), ' ') AS words, owner || ' ' || id AS ids FROM w",
     "user_countdown": "WITH d AS (SELECT event_id, greatest(epoch(TIMESTAMP '2024-06-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT, 0) AS s FROM events) SELECT event_id, s // 86400 AS days, (s % 86400 // 3600)::INT AS hours, (s % 3600 // 60)::INT AS minutes, (s % 60)::INT AS seconds FROM d",
 }
