@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,13 +93,15 @@ PLACEHOLDER = regex.compile(
 UNFILLED = regex.compile(r"^\s*(?:\#{1,6}\s*|[\p{L}_ ]{1,30}[:：]\s*)(?:undefined|null|NaN|None|nil)\s*$", regex.M)
 _CODE = regex.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[^\n]*$|\Z)|`[^`\n]+`|\$\$.*?\$\$|(?<![\\$])\$(?![{$])[^$\n]+\$", regex.S | regex.M)
 _HIDDEN = regex.compile(r"\p{Cf}+")
+#: What a text must hold for the patterns above to find anything in it.
+_CODE_HINT, _SLOT_HINT, _EMPTY_HINT = regex.compile(r"[`~$]"), regex.compile(r"[{%\[<@【(（]|__|NaN|(?i:invalid)"), regex.compile(r"undefined|null|NaN|None|nil")
 _TAG = regex.compile(r"</?[A-Za-z][^<>\n]*>")
 _NUMBER = regex.compile(r"\d+(?:[.,]\d+)*")
 _TRACE = regex.compile(r"\b[a-z]{2,12}-[0-9a-f]{5,32}\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", regex.I)
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|[\p{L}\p{M}']+|<\w+>")
 _END = regex.compile(r"[.!?。！？…:：;；।][\"'”’»」』)）\]]*\s*$")
 _BLOCK = regex.compile(r"^\s*(?:[-*+]\s|\d+[.)]\s|\||>\s)")
-_EMPTY_LINE = regex.compile(r"^[\s\W_]*(?:<trace>|<num>|[\s\W_])*$")
+_EMPTY_LINE = regex.compile(r"(?:<trace>|<num>|[\s\W_])*+")
 
 
 @dataclass
@@ -132,15 +135,22 @@ def passages(text: str) -> tuple[list[Passage], int]:
     """The passages of a record, and the code points of code and formulas in it."""
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).replace("\u2028", "\n"))
-    bare = _CODE.sub(" ", text)
+    bare = _CODE.sub(" ", text) if _CODE_HINT.search(text) else text
+    slots, empty, tags = _SLOT_HINT.search(bare), _EMPTY_HINT.search(bare), "<" in bare
     out = []
     for line in regex.split(r"[\r\n]+", bare):
-        held = bool(PLACEHOLDER.search(line) or UNFILLED.match(line))
-        plain = _NUMBER.sub(" <num> ", _TRACE.sub(" <trace> ", PLACEHOLDER.sub(" <slot> ", line))) if held or not line.isspace() else ""
-        plain = _TAG.sub(lambda m: m.group() if m.group() in ("<num>", "<trace>", "<slot>") else " ", plain).casefold()
-        if UNFILLED.match(line):
+        unfilled = bool(empty and UNFILLED.match(line))
+        held = unfilled or bool(slots and PLACEHOLDER.search(line))
+        plain = PLACEHOLDER.sub(" <slot> ", line) if held else line
+        if "-" in plain:
+            plain = _TRACE.sub(" <trace> ", plain)
+        plain = _NUMBER.sub(" <num> ", plain)
+        if tags:
+            plain = _TAG.sub(lambda m: m.group() if m.group() in ("<num>", "<trace>", "<slot>") else " ", plain)
+        plain = plain.casefold()
+        if unfilled:
             plain += " <slot>"
-        if _EMPTY_LINE.match(plain):
+        elif not held and _EMPTY_LINE.fullmatch(plain):
             continue
         features = _features(plain)
         out.append(Passage(features, held, _filler(features), len(line.strip()), bool(_END.search(line) or _BLOCK.match(line))))
@@ -151,45 +161,37 @@ class Model:
     """Log-odds of each feature, fitted on positive and unlabelled passages."""
 
     def __init__(self, positive: list[list[str]], unlabelled: list[list[str]], rounds: int = ROUNDS):
-        pos, neg = Counter(), Counter()
-        sets_p, sets_u = [set(f) for f in positive], [set(f) for f in unlabelled]
+        sets_p, sets_u = [set(f) for f in positive], [f for f in map(set, unlabelled) if f]
+        seen = Counter(w for s in sets_u for w in s)
+        kept = {w for s in sets_p for w in s} | {w for w, n in seen.items() if n > 1}
+        index = {w: i for i, w in enumerate(sorted(kept))}
+        base = np.zeros(len(index))
         for s in sets_p:
-            pos.update(s)
-        all_u = Counter()
-        for s in sets_u:
-            all_u.update(s)
-        vocabulary = set(pos) | {w for w, n in all_u.items() if n > 1}
-        base_p = Counter(pos)
-        share = [0.0] * len(sets_u)
+            base[[index[w] for w in s]] += 1
+        words = np.array([index[w] for s in sets_u for w in s if w in index], np.int64)
+        sizes = np.array([sum(w in index for w in s) for s in sets_u], np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        all_u = np.bincount(words, minlength=len(index)).astype(float)
+        back = BACKGROUND * (base + all_u) / max(1, len(sets_p) + len(sizes))
+        share = np.zeros(len(sizes))
         for _ in range(rounds):
-            weight = sum(share)
-            pos, neg = Counter(base_p), Counter(all_u)
-            for s, p in zip(sets_u, share, strict=True):
-                if p > 1e-4:
-                    for w in s:
-                        pos[w] += p
-                        neg[w] -= p
-            n_p, n_n = len(sets_p) + weight, max(1.0, len(sets_u) - weight)
-            m, total = BACKGROUND, len(sets_p) + len(sets_u)
-            self.weights = {}
-            for w in vocabulary:
-                back = m * (base_p[w] + all_u[w]) / total
-                odds = math.log((pos[w] + back) / (n_p + m)) - math.log((max(0.0, neg[w]) + back) / (n_n + m))
-                self.weights[w] = min(MOST, max(LEAST, odds))
-            prior = min(0.5, max(0.001, weight / max(1, len(sets_u)))) if weight else min(0.5, max(0.001, len(sets_p) / max(1, len(sets_u))))
+            weight = share.sum()
+            more = np.bincount(words, share[owner], minlength=len(index))
+            n_p, n_n = len(sets_p) + weight, max(1.0, len(sizes) - weight)
+            odds = np.log((base + more + back) / (n_p + BACKGROUND)) - np.log((np.maximum(0, all_u - more) + back) / (n_n + BACKGROUND))
+            odds = np.clip(odds, LEAST, MOST)
+            prior = min(0.5, max(0.001, (weight or len(sets_p)) / max(1, len(sizes))))
             self.prior = math.log(prior / (1 - prior))
-            before, share = share, [self._posterior(s) for s in sets_u]
-            if max((abs(x - y) for x, y in zip(before, share, strict=True)), default=0) < 1e-3:
+            scores = self.prior + np.bincount(owner, odds[words], minlength=len(sizes))
+            before, share = share, 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+            if not len(sizes) or np.abs(share - before).max() < 1e-3:
                 break
-
-    def _posterior(self, features) -> float:
-        s = self.score(features)
-        return 1 / (1 + math.exp(-s)) if s > -30 else 0.0
+        self.weights = dict(zip(index, odds.tolist(), strict=True))
 
     def score(self, features) -> float:
         """Log-odds that a passage with these features is residue; features never seen don't count."""
-        weights = self.weights
-        return self.prior + sum(weights.get(w, 0.0) for w in set(features))
+        get = self.weights.get
+        return self.prior + sum([get(w, 0.0) for w in set(features)])
 
 
 def decide(text: str, model: Model) -> bool:
@@ -212,10 +214,13 @@ def decide(text: str, model: Model) -> bool:
 
 
 def fit(records: DataFrame, key: Column, text: Column, most: int = FIT_RECORDS) -> Model:
-    """A model from the trusted records and a sample of at most ``most`` records of up to FIT_LENGTH code points, those with
-    the smallest hash of the key, so the same whatever the partitions."""
-    rows = records.select(key.alias("k"), text.alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_LENGTH))
-    sample = [r.t for r in rows.orderBy(F.xxhash64("k"), F.xxhash64("t")).limit(most).select("t").collect()]
+    """A model from the trusted records and a sample of about ``most`` records of up to FIT_LENGTH code points: those whose hash is below a
+    bar set by the number of records, so the same ones whatever the partitions, and only they reach the driver."""
+    rows = records.select(F.xxhash64(key, text).alias("h"), text.alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_LENGTH))
+    share = min(1.0, most / max(1, records.count()))
+    low = F.col("h") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
+    # copies of one record fall on one side of the bar together, hence the limit: the driver never gets more than twice the sample
+    sample = [r.t for r in rows.where(low).select("t").limit(2 * most).collect()]
     positive = [p.features for line in TRUSTED for p in passages(line)[0]] + [["<slot>"]] * 10
     unlabelled = []
     for t in sample:
