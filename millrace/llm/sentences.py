@@ -112,20 +112,31 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
 }
 CASCADES = {lang: ("first", lang, *(t for t in ("en", "de", "es") if t != lang), "common") for lang in ("zh", "ja", "hi", "de", "es", "en")}
 
-_COMPILED = {
-    lang: [(verdict, regex.compile(f"(?<={before})(?={after})")) for table in tables for verdict, before, after in RULES[table]] for lang, tables in CASCADES.items()
-}
+
+
+def _compiled(tables: tuple[str, ...], point: bool) -> list[tuple[bool, regex.Pattern]]:
+    """The rules of the tables; without those that need a point where the end mark has none."""
+    rows = [rule for table in tables for rule in RULES[table]]
+    return [(verdict, regex.compile(f"(?<={before})(?={after})")) for verdict, before, after in rows if point or r"\." not in before.replace(_LATE, "")[-3:]]
+
+
+#: For each language the rules after end marks with a point in them, and after others.
+_COMPILED = {lang: (_compiled(tables, True), _compiled(tables, False)) for lang, tables in CASCADES.items()}
 #: A number or letter that opens an item, as all that a sentence has so far.
 _ITEM = regex.compile(r"[(（\[]?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)）\]]{1,2}")
 _SPOT = regex.compile(rf"[{_ENDS}]+{_LATE}")
 _GAP = regex.compile(r"\n[^\S\n]*\n\s*")
 _QUOTE = regex.compile(rf"[\"“”„«»「」『』《》]|\n[^\S\n]*\n|[{_ENDS}]+")
 _PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》"}
+_SCRIPT = {"hi": regex.compile(r"\p{Devanagari}"), "ja": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "zh": regex.compile(r"\p{Han}")}
 _WEST = {"de": regex.compile(r"\b(?:der|die|das|und|wird|ist|mit|von|für|nicht|eine?|auf|im|nach)\b", regex.I), "es": regex.compile(r"\b(?:el|la|los|las|una?|de|del|que|se|en|por|con|hay)\b", regex.I), "en": regex.compile(r"\b(?:the|and|of|is|to|in|that|with|for|was|are|this|by|has)\b", regex.I)}
 
 # Letters that look like Latin ones, in the order of the Latin line below.
 _LOOK = str.maketrans("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕЅІЈКМНОРСТХаеорсухѕіјһԁԝνοϳɡ", "ABEZHIKMNOPTYXABESIJKMHOPCTXaeopcyxsijhdwvojg") | {c: c - 0xFEE0 for c in (0xFF0E, *range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
 _SPACE = {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9)} | {c: "\n" for c in (0xB, 0xC, 0x85, 0x2028, 0x2029)}
+_PLAIN = _LOOK | _SPACE
+#: What makes a text differ from its copy.
+_ODD = regex.compile(rf"[{_HIDDEN}{regex.escape(''.join(map(chr, _PLAIN)))}]")
 _SHOWN = regex.compile(rf"[^{_HIDDEN}]+")
 
 
@@ -133,12 +144,9 @@ def language(text: str) -> str:
     """The language whose rules a text gets: by script, in Latin script by its frequent words."""
     if text.isascii():
         return "en"
-    if regex.search(r"\p{Devanagari}", text):
-        return "hi"
-    if regex.search(r"[\p{Hiragana}\p{Katakana}]", text):
-        return "ja"
-    if regex.search(r"\p{Han}", text):
-        return "zh"
+    for lang, script in _SCRIPT.items():
+        if script.search(text):
+            return lang
     counts = {lang: len(words.findall(text)) for lang, words in _WEST.items()}
     return max(counts, key=lambda lang: (counts[lang], lang == "en"))
 
@@ -175,17 +183,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
     index: list[int] | None = None
     plain = text.replace("\r", "\n") if "\r\n" not in text else text.replace("\r\n", " \n").replace("\r", "\n")
     if not text.isascii():
-        plain = plain.translate(_SPACE)
-        shown = [m.span() for m in _SHOWN.finditer(plain)]
-        if sum(b - a for a, b in shown) != len(plain):
-            index = [i for a, b in shown for i in range(a, b)]
-            plain = "".join(plain[a:b] for a, b in shown)
-        lang = language(plain.translate(_LOOK))
-        plain = plain.translate(_LOOK)
+        if _ODD.search(plain):
+            plain = plain.translate(_PLAIN)
+            shown = [m.span() for m in _SHOWN.finditer(plain)]
+            if sum(b - a for a, b in shown) != len(plain):
+                index = [i for a, b in shown for i in range(a, b)]
+                plain = "".join(plain[a:b] for a, b in shown)
+        lang = language(plain)
     else:
         lang = "en" if not _WEST["de"].search(text) and not _WEST["es"].search(text) else max(_WEST, key=lambda w: (len(_WEST[w].findall(text)), w == "en"))
     marked = _marked(plain)
-    rules = _COMPILED[lang]
+    pointed, others = _COMPILED[lang]
     hard = [m.span() for m in _GAP.finditer(marked)]
     out: list[tuple[int, int]] = []
     size = len(marked)
@@ -208,7 +216,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             break
         if at - start <= 12 and _ITEM.fullmatch(marked[start:at].strip()):
             continue
-        for verdict, rule in rules:
+        for verdict, rule in pointed if "." in m.group() else others:
             if rule.match(marked, at):
                 if verdict:
                     close(start, at)
