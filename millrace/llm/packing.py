@@ -20,6 +20,8 @@ from millrace.sources.shared import write_shared
 
 #: Code points of a container; items of one partition; rounds of exchange; containers given away for each of the gap.
 CAPACITY, ITEMS, ROUNDS, GIVEN = 6_000, 50_000, 8, 4
+#: Partitions of items that one task packs at most, where there are more than shuffle partitions (40 bytes an item in memory).
+GROUPS = 20
 #: Copies of one row that are numbered at a time.
 COPIES = 10_000
 _SCHEMA = "item_id bigint, copy bigint, part_no int, size int, container_id bigint"
@@ -124,7 +126,8 @@ def pack(df: DataFrame, key: Column, length: Column, capacity: int = CAPACITY, i
             break
         last = groups == 1 or number == ROUNDS
         owned = todo.withColumn("owner", F.pmod(F.xxhash64("item_id", "copy", "part_no", F.lit(number)), F.lit(groups)))
-        packed = owned.repartition(groups, "owner").mapInArrow(_round(number, last, capacity), _SCHEMA)
+        tasks = min(groups, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS)))
+        packed = owned.repartition(tasks, "owner").mapInArrow(_round(number, last, capacity), _SCHEMA)
         packed = write_shared(packed, f"packed{number}")
         done = done.unionAll(packed.where("container_id IS NOT NULL").drop("copy"))
         if last:
