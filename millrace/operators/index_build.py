@@ -70,7 +70,7 @@ def shard_files(records: DataFrame) -> DataFrame:
 
 def routes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packed filters of the shards and of the categories."""
-    sets = bloom.token_sets(records.withColumn("tokens", routing_tokens(record_text())), ["category", "shard"], F.col("tokens"))
+    sets = write_shared(bloom.token_sets(records.withColumn("tokens", routing_tokens(record_text())), ["category", "shard"], F.col("tokens")), "sets")
     narrow = bloom.packed(bloom.filters(sets.select("shard", "token"), ["shard"]), ["shard"])
     wide = bloom.packed(bloom.filters(sets.select("category", "token").distinct(), ["category"], bloom.CATEGORY_BITS), ["category"])
     return narrow, wide

@@ -9,6 +9,7 @@ from millrace.functions import hashing, markdown, paths, text
 from millrace.operators import bloom_index, records
 from millrace.operators.index_build import current_pages
 from millrace.plans import sqltext
+from millrace.sources.shared import write_shared
 from millrace.sources.tables import table
 
 #: Queries are the titles of every page whose id is divisible by this.
@@ -49,7 +50,8 @@ def token_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _group_filters(spark: SparkSession, folder: str) -> DataFrame:
-    return bloom_index.filters(bloom_index.token_sets(_titles(spark, folder), ["page_group"], F.col("tokens")), ["page_group"])
+    sets = write_shared(bloom_index.token_sets(_titles(spark, folder), ["page_group"], F.col("tokens")), "sets")
+    return bloom_index.filters(sets, ["page_group"])
 
 
 def bloom_bits(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +64,7 @@ def bloom_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 def bloom_scores(spark: SparkSession, folder: str) -> DataFrame:
     asked = _titles(spark, folder).where(F.col("page_id") % QUERY_STEP == 0).select(F.col("page_id").alias("query_id"), F.explode("tokens").alias("token"))
-    return bloom_index.scores(_group_filters(spark, folder), ["page_group"], asked).select("query_id", "page_group", F.round("score", 9).alias("score"))
+    return bloom_index.scores(_group_filters(spark, folder), ["page_group"], write_shared(asked, "asked")).select("query_id", "page_group", F.round("score", 9).alias("score"))
 
 
 def group_rank(spark: SparkSession, folder: str) -> DataFrame:
