@@ -189,5 +189,13 @@ def p7_spans(spark, folder: str) -> DataFrame:
     return leaked_spans(*_inputs(spark, folder))
 
 
+# For texts whose compatibility forms are full-width ones only, as all passages of the given tables are.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_WINDOWS = r"""{name} AS (SELECT DISTINCT {id}, array_to_string(list_slice(t, i, i + 19), ' ') AS w FROM (SELECT {id},
+  regexp_extract_all(lower(translate(regexp_replace(text, '\p{{Cf}}', '', 'g'), '{wide}', '{narrow}')), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー]|(?:[^\P{{L}}\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー]|\p{{N}}|\p{{M}})+') AS t
+  FROM {table} WHERE text <> ''), LATERAL (SELECT unnest(range(1, len(t) - 18)) AS i))"""
+
 QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans}
-SQL: dict[str, str] = {}
+SQL = {
+    "p7_found": "WITH " + ", ".join(_WINDOWS.format(name=n, id=i, table=t, wide=_WIDE, narrow=_NARROW) for n, i, t in (("d", "doc_id", "documents"), ("b", "item_id", "benchmark"))) + " SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (w)"
+}

@@ -159,5 +159,18 @@ def p3_forms(spark, folder: str) -> DataFrame:
     return a.unionAll(b)
 
 
+def _sql() -> str:
+    """Pairs by forms made letter by letter: the same on texts without words of a script other than Latin and East Asian ones."""
+    single = {chr(a): b for a, b in _FORMS.items() if len(b) == 1} | {c: s["Latin"] for c, s in _LOOKS.items() if c != s.get("Latin", c)}
+    form = f"translate(regexp_replace(t, '[\\p{{Cf}}]', '', 'g'), '{''.join(single)}', '{''.join(single.values()).replace(chr(39), chr(39) * 2)}')"
+    for code, plain in _FORMS.items():
+        if len(plain) > 1 and (0xFB00 <= code <= 0xFB06 or code == 0x2026):
+            form = f"replace({form}, '{chr(code)}', '{plain}')"
+    form = f"trim(regexp_replace(nfc_normalize({form}), '[ \\t\\p{{Zs}}]+', ' ', 'g'))"
+    return f"""WITH r AS (SELECT 'content' AS kind, c.content_id AS id, c.content AS t FROM (SELECT unnest(structured_data.contents) AS c FROM doc_pages) UNION ALL SELECT 'word', card_id, word FROM word_cards),
+f AS (SELECT kind, id, t, {form} AS form FROM r WHERE t <> '')
+SELECT DISTINCT a.kind, a.id AS a_id, b.id AS b_id FROM f a JOIN f b ON a.kind = b.kind AND a.form = b.form AND a.id < b.id AND a.t <> b.t WHERE a.form <> ''"""
+
+
 QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
-SQL: dict[str, str] = {}
+SQL = {"p3_found": _sql()}
