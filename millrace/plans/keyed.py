@@ -171,7 +171,8 @@ def card_modules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def module_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return cards.gaps(_ranges(spark, folder).where("slug != 'module-02'"))
+    """Where a course without its second module has a hole."""
+    return cards.gaps(_ranges(spark, folder, 50).where("slug != 'module-02'"))
 
 
 def sense_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,6 +273,7 @@ SELECT u AS url, (x.title IS NOT DISTINCT FROM y.title AND x.description IS NOT
     "nested_tree": "SELECT r_regionkey, r_name, coalesce(string_agg(n_name, '|' ORDER BY n_nationkey), '') AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL",
     "tree_nodes": "WITH p AS (SELECT DISTINCT array_to_string(string_split(page_group, '/')[1:i], '/') AS node FROM (SELECT page_group, unnest(range(1, len(string_split(page_group, '/')) + 1)) AS i FROM doc_pages)) SELECT string_split(node, '/')[1] AS root, node FROM p",
     "card_modules": "WITH c AS (SELECT row_number() OVER (ORDER BY card_id) - 1 AS pos, word, try_cast(nullif(regexp_extract(label, '[0-9]+'), '') AS BIGINT) AS imp FROM word_cards), g AS (SELECT pos // 225 AS m, count(*) AS n, arg_min(word, pos) AS first_word, arg_max(word, pos) AS last_word, arg_min(struct_pack(v := imp), pos).v AS a, arg_max(struct_pack(v := imp), pos).v AS b FROM c GROUP BY 1) SELECT format('module-{:02d}', m + 1) AS slug, m * 225 AS start, least((m + 1) * 225, (SELECT count(*) FROM c)) AS \"end\", n, first_word, last_word, CASE WHEN a IS NULL THEN '重要性未标注' ELSE '重要性 ' || a END || CASE WHEN a IS NOT DISTINCT FROM b THEN '' ELSE '–' || coalesce(b::VARCHAR, '未标注') END AS importance_range FROM g",
+    "module_gaps": "WITH n AS (SELECT count(*) AS n FROM word_cards), r AS (SELECT format('module-{:02d}', i + 1) AS slug, i * 50 AS start, least((i + 1) * 50, n) AS \"end\" FROM n, LATERAL (SELECT unnest(range(0, (n + 49) // 50)) AS i)), k AS (SELECT *, coalesce(lag(\"end\") OVER (ORDER BY start), 0) AS b FROM r WHERE slug <> 'module-02') SELECT slug, start, \"end\" FROM k WHERE start <> b",
     "sense_shares": "WITH s AS (SELECT card_id, senses, unnest(senses) AS s, generate_subscripts(senses, 1) - 1 AS sense_no, list_sum(list_transform(senses, lambda x: greatest(coalesce(x.count, 0), 0))) AS total FROM word_cards), p AS (SELECT card_id, sense_no, s.gloss AS gloss, coalesce(s.percentage, CASE WHEN total <= 0 THEN 0.0 ELSE s.count / total * 100 END) AS v FROM s) SELECT card_id, sense_no, gloss, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0 ELSE least(100, greatest(0, floor(least(greatest(v, -1), 101) + 0.5)))::INT END AS percentage FROM p",
     "card_tones": "SELECT card_id, ((row_number() OVER (ORDER BY card_id) - 1) % 7 + 1)::INT AS tone FROM word_cards",
     "study_views": "SELECT card_id, mode, mode <> 'dictation' AS shows_word, mode <> 'translation' AS shows_meanings FROM word_cards, (SELECT unnest(['full', 'compact', 'dictation', 'translation']) AS mode)",
