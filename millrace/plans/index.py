@@ -10,12 +10,17 @@ from millrace.operators import index_build
 from millrace.operators.records import record_text
 from millrace.operators.relational import latest
 from millrace.operators.search import search
-from millrace.operators.sharding import stable_shards
+from millrace.operators.sharding import LEVELS, stable_shards
+from millrace.plans import sqltext
 from millrace.plans.corpus import QUERY_STEP
 from millrace.sources.shared import write_shared
 from millrace.sources.tables import table
 
 
+#: Code points of a shard of pages here: small, so that small tables have several.
+_TARGET = 60_000
+
+
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "doc_pages")
 
@@ -24,7 +29,7 @@ def stable_page_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shard of each page by the size of its blocks, shards of at most 60,000 code points a group."""
     pages = latest(_pages(spark, folder), ["url"], [F.col("updated"), F.col("page_id")])
     size = F.aggregate("structured_data.contents", F.lit(0).cast("bigint"), lambda n, c: n + F.coalesce(F.length(c["content"]), F.lit(0)))
-    return stable_shards(pages.select(F.col("page_group").alias("owner"), F.col("url").alias("key"), size.alias("chars")), 60_000)
+    return stable_shards(pages.select(F.col("page_group").alias("owner"), F.col("url").alias("key"), size.alias("chars")), _TARGET)
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,4 +66,20 @@ def search_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stable_page_shards, shard_files, router_files, category_entries, manifest, search_topk)}
-SQL: dict[str, str] = {}
+_DIGITS = " || ".join(f"({sqltext.fnv32(f"('{d}:' || url)")} & 3)::VARCHAR" for d in range(LEVELS))
+SQL = {
+    # the digits, every part of every level, the first level that fits, its path with x where a level parts nothing; then halves
+    "stable_page_shards": f"""WITH RECURSIVE p AS (SELECT page_group AS owner, url, list_sum(list_transform(structured_data.contents, lambda c: coalesce(length(c.content), 0)))::BIGINT AS n FROM doc_pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY updated DESC NULLS LAST, page_id DESC) = 1),
+d AS (SELECT owner, url, coalesce(n, 0) AS chars, {_DIGITS} AS digits FROM p),
+l AS (SELECT *, unnest(range(0, {LEVELS + 1})) AS level FROM d),
+s AS (SELECT owner, url, chars, digits, level, sum(chars) OVER w AS total, count(*) OVER w AS m FROM l WINDOW w AS (PARTITION BY owner, level, substr(digits, 1, level))),
+f AS (SELECT *, min(CASE WHEN total <= {_TARGET} OR m <= 1 THEN level END) OVER (PARTITION BY owner, url) AS stop, lag(m) OVER (PARTITION BY owner, url ORDER BY level) AS above FROM s),
+h AS (SELECT owner, url, any_value(chars) AS chars, any_value(stop) AS stop, coalesce(string_agg(CASE WHEN m = above THEN 'x' ELSE substr(digits, level::INT, 1) END, '' ORDER BY level) FILTER (WHERE level BETWEEN 1 AND coalesce(stop, {LEVELS})), '0') AS label FROM f GROUP BY owner, url),
+r AS (SELECT owner, label, url, chars, row_number() OVER w AS rk, (sum(chars) OVER w)::BIGINT AS cum FROM h WHERE stop IS NULL WINDOW w AS (PARTITION BY owner, label ORDER BY url)),
+halves AS (SELECT owner, label, 0::BIGINT AS a, count(*) AS b, sum(chars)::BIGINT AS total, '' AS name FROM r GROUP BY owner, label
+  UNION ALL SELECT g.owner, g.label, g.na, g.nb, x.cum - coalesce(y.cum, 0), g.nn FROM (
+    SELECT owner, label, CASE i WHEN 0 THEN a ELSE a + (b - a + 1) // 2 END AS na, CASE i WHEN 0 THEN a + (b - a + 1) // 2 ELSE b END AS nb, name || CASE i WHEN 0 THEN 'a' ELSE 'b' END AS nn FROM halves, (VALUES (0), (1)) v(i) WHERE total > {_TARGET} AND b - a > 1) g
+  JOIN r x ON x.owner = g.owner AND x.label = g.label AND x.rk = g.nb LEFT JOIN r y ON y.owner = g.owner AND y.label = g.label AND y.rk = g.na)
+SELECT owner, url AS key, chars, label AS shard_key FROM h WHERE stop IS NOT NULL
+UNION ALL SELECT r.owner, r.url, r.chars, r.label || t.name FROM r JOIN halves t ON t.owner = r.owner AND t.label = r.label AND r.rk > t.a AND r.rk <= t.b WHERE t.total <= {_TARGET} OR t.b - t.a <= 1"""
+}

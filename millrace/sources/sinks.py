@@ -75,12 +75,15 @@ def commit(table: DataFrame, folder: str) -> tuple[str, bool]:
     return version, True
 
 
+def exists(spark, path: str) -> bool:
+    """Whether there is a file or folder of this path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def current(spark, folder: str) -> str | None:
     """The path of the committed version, None before the first commit."""
-    jvm = spark.sparkContext._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(pointer):
+    if not exists(spark, f"{folder}/CURRENT"):
         return None
     return spark.read.format("text").option("wholetext", True).load(f"{folder}/CURRENT").first()[0].strip()
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.relational import merged
+from millrace.operators.relational import latest
 from millrace.sources.shared import shared_dir
-from millrace.sources.sinks import commit, current
+from millrace.sources.sinks import commit, current, exists
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -36,19 +36,32 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
 
 
 def run_latest(stream: DataFrame, folder: str, key: list[str], order: list[Column], name: str) -> DataFrame:
-    """Keeps the table below ``folder`` at the last row of each key while a stream runs over all that is there. A micro-batch that is repeated
-    merges to the same rows, so the result is the same."""
+    """The last row of each key of a stream, run over all that is there. Each micro-batch adds its own last rows as a part of its number below
+    ``folder``, so its cost is that of the batch, and a repeated one overwrites its part; the last of all parts is taken when read.
+    ``compact`` makes one table of many parts."""
     spark = stream.sparkSession
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        before = current(spark, folder)
-        old = spark.read.parquet(before) if before else batch.limit(0)
-        commit(merged(old.limit(0), old.unionByName(batch), key, order), folder)
+    def add(batch: DataFrame, number: int) -> None:
+        latest(batch, key, order).write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
 
-    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    now = current(spark, folder)
-    return spark.read.parquet(now) if now else spark.createDataFrame([], stream.schema)
+    return read_latest(spark, folder, stream.schema, key, order)
+
+
+def read_latest(spark: SparkSession, folder: str, schema, key: list[str], order: list[Column]) -> DataFrame:
+    """The last rows below ``folder``: of the compacted table, if there is one, and the parts."""
+    rows = spark.createDataFrame([], schema)
+    if base := current(spark, f"{folder}/base"):
+        rows = rows.unionByName(spark.read.schema(schema).parquet(base))
+    if exists(spark, f"{folder}/parts"):
+        rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/parts").select(*rows.columns))
+    return latest(rows, key, order)
+
+
+def compact(spark: SparkSession, folder: str, schema, key: list[str], order: list[Column]) -> None:
+    """Commits the last rows of all parts as the base table; parts stay valid beside it, so they may be deleted at any time after."""
+    commit(read_latest(spark, folder, schema, key, order), f"{folder}/base")
 
 
 def versions(stream: DataFrame, key: str, checksum: str, order: str) -> DataFrame:

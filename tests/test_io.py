@@ -77,5 +77,9 @@ def test_streams(spark, tmp_path):
     assert sorted(r[0] for r in once.collect()) == ["a", "b", "c"]
     latest = messages.run_latest(stream().drop("id", "at"), f"file://{tmp_path}/latest", ["task"], [F.col("version"), F.col("checksum")], f"t2-{run}")
     assert sorted((r.task, r.version) for r in latest.collect()) == [("t", 3), ("u", 1)]
+    base, own = f"file://{tmp_path}/latest", (["task"], [F.col("version"), F.col("checksum")])
+    messages.compact(spark, base, latest.schema, *own)
+    assert sinks.exists(spark, f"{base}/base/CURRENT") and sorted((r.task, r.version) for r in messages.read_latest(spark, base, latest.schema, *own).collect()) == [("t", 3), ("u", 1)]
+    assert messages.read_latest(spark, f"{base}-none", latest.schema, *own).collect() == []
     numbered = messages.run_to_table(messages.versions(stream(), "task", "checksum", "version"), f"t3-{run}")
     assert sorted((r.task, r.version) for r in numbered.collect()) == [("t", 1), ("t", 2), ("u", 1)]
