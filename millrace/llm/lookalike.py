@@ -54,19 +54,21 @@ def _looks() -> dict[str, dict[str, str]]:
     return table
 
 
-def _forms() -> dict[int, str]:
-    """Characters that are another's width, ligature or radical, by the tag of their decomposition."""
-    table: dict[int, str] = {ord(a): b for a, b in RADICALS.items()} | {0x2010: "-"}
+def _forms(looks: dict[str, dict[str, str]]) -> dict[int, str]:
+    """Characters that are another's width, ligature or radical, by the tag of their decomposition; letters with a look of their own
+    aren't among them."""
+    table: dict[int, str] = {ord(a): b for a, b in RADICALS.items()}
     for code in range(0x80, 0x30000):
         tag, _, rest = unicodedata.decomposition(chr(code)).partition(" ")
         if tag in ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<vertical>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>"):
             plain = unicodedata.normalize("NFKC", chr(code))
-            if plain == " " or " " not in plain:
+            if chr(code) not in looks and (plain == " " or " " not in plain):
                 table[code] = plain
-    return table
+    return table | {0x2010: "-", 0x2011: "-"}
 
 
-_LOOKS, _FORMS = _looks(), _forms()
+_LOOKS = _looks()
+_FORMS = _forms(_LOOKS)
 
 
 def _own(letter: str) -> str | None:

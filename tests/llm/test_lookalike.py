@@ -1,13 +1,15 @@
 from itertools import combinations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from millrace.llm.lookalike import one_form, one_forms, respell, same_look
 
 
 @pytest.mark.parametrize(("a", "b"), [
     ("Torhald rule", "Тоrһаlԁ rulе"), ("page", "ｐａｇｅ"), ("b​inomial", "binomial"), ("bituraful", "bit­uraful"), ("übung", "übung"), ("a b c", "a　b\xa0 c"),
-    ("量不", "量不"), ("一⻅", "⼀见"), ("ﬁle", "file"), ("ガ", "ｶﾞ"), ("ｘ，１", "x,1"), ("сахар", "caxap"), ("end \r\nx", "end\nx"), ("ëx", "ёx"), ("a", " a ")])
+    ("量不", "量不"), ("一⻅", "⼀见"), ("ﬁle", "file"), ("ガ", "ｶﾞ"), ("ｘ，１", "x,1"), ("сахар", "caxap"), ("end \r\nx", "end\nx"), ("ëx", "ёx"), ("a", " a "), ("co-op", "co‑op"), ("co-op", "co‐op")])
 def test_same(a, b):
     assert one_form(a) == one_form(b)
 
@@ -18,6 +20,12 @@ def test_different(a, b):
     assert one_form(a) != one_form(b)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aаoοѕ​­́̈ｱﾞ⻅⼀ﬁ‑")), max_size=40))
+def test_idempotent(text):
+    assert one_form(one_form(text)) == one_form(text)
+
+
 def test_script_choice():
     assert respell("жap") == "жар"  # the rest is Cyrillic only, so all of it is
     assert respell("αoς") == "αος"
