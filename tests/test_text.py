@@ -117,3 +117,13 @@ def test_checks(spark):
     for bad in ([(1, "/a/*/*", "/x")], [(1, "a", "/x")], [(i, "/a", "/x") for i in range(101)], [(1, None, "/x")]):
         with pytest.raises(Exception):
             checks.redirect_lines(spark.createDataFrame(bad, "o int, source string, destination string"), "o").collect()
+
+
+def test_small_checks(spark):
+    df = spark.createDataFrame([(None, 200, False, "ab", ""), (None, None, True, None, "x"), ("e", 200, True, "abcd", None), (None, 404, True, "", "y")], "error string, status int, has_id boolean, a string, owner string")
+    assert [r[0] for r in df.select(checks.response_ok(F.col("error"), F.col("status"), F.col("has_id"))).collect()] == [True, True, False, False]
+    assert [r[0] for r in df.select(checks.limits({"a": (0, 3), "owner": (0, 1)})).collect()] == [True, True, False, True]
+    assert [r.owner for r in checks.with_defaults(df, {"owner": F.lit("d")}).collect()] == ["d", "x", "d", "y"]
+    assert checks.owned(df, "owner", "x").count() == 1
+    assert one(spark, "body ", lambda v: text.render_markdown(F.lit("T"), F.lit("/u"), v)) == "# T (/u)\n\nbody\n"
+    assert [one(spark, m, lambda v: text.error_message(v, F.lit("first\nsecond"), "d")) for m in (" ", "m")] == ["first", "m"]
