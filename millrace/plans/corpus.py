@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing, markdown, paths, text
 from millrace.operators import bloom_index, records
 from millrace.operators.index_build import current_pages
+from millrace.operators.search import scored
 from millrace.plans import sqltext
 from millrace.sources.shared import write_shared
 from millrace.sources.tables import table
@@ -73,6 +74,14 @@ def group_rank(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("query_id", "page_group", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def group_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best ten titles in each of the nine best groups of each query."""
+    titles = write_shared(table(spark, folder, "doc_pages").select(F.col("page_group").alias("shard"), F.col("page_id").alias("record_id"), "url", text.routing_tokens(F.col("title")).alias("tokens")), "titles")
+    asked = titles.where(F.col("record_id") % QUERY_STEP == 0).select(F.col("record_id").alias("query_id"), F.explode("tokens").alias("token")).distinct()
+    chosen = group_rank(spark, folder).select("query_id", F.lit("core").alias("kind"), F.col("page_group").alias("shard"), "rank")
+    return scored(titles, chosen, asked).select("query_id", F.col("shard").alias("page_group"), F.col("record_id").alias("page_id"), "bm25", F.col("position").cast("bigint").alias("position"))
+
+
 def core_records(spark: SparkSession, folder: str) -> DataFrame:
     own = records.core_records(table(spark, folder, "doc_pages"))
     return own.select("page_id", "title", "description", F.array_join("breadcrumbs", "/").alias("breadcrumbs"), "content", "keywords", "url")
@@ -150,7 +159,7 @@ FROM ids JOIN doc_pages USING (page_id) LEFT JOIN joined USING (page_id, heading
 QUERIES = {
     f.__name__: f
     for f in (
-        text_strip_markup, text_search_form, natural_chars, routing_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, core_records, page_sections, section_records,
+        text_strip_markup, text_search_form, natural_chars, routing_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, group_search, core_records, page_sections, section_records,
         fixed_chunks, greedy_chunks, page_paths, frontmatter, first_headings, strip_mdx, heading_levels, publishable,
     )
 }
@@ -164,6 +173,14 @@ SQL = {
     "bloom_bits": f"{_G}, {sqltext.hashed()}, {_SIZES}, {_POSITIONS} SELECT page_group, bits, bit FROM positions",
     "bloom_scores": _SCORES + " SELECT query_id, page_group, score FROM scored",
     "group_rank": _SCORES + " SELECT query_id, page_group, score, row_number() OVER (PARTITION BY query_id ORDER BY (score >= 0.5) DESC, score DESC, page_group) AS rank FROM scored QUALIFY rank <= 9",
+    "group_search": _SCORES + f""", ranked AS (SELECT query_id, page_group, row_number() OVER (PARTITION BY query_id ORDER BY (score >= 0.5) DESC, score DESC, page_group) AS rank FROM scored QUALIFY rank <= 9),
+own AS (SELECT page_id, token FROM (WITH {sqltext.tokens("doc_pages", "page_id", "title")} SELECT * FROM tokens)),
+sized AS (SELECT p.page_group, p.page_id, p.url, count(token) AS len FROM doc_pages p LEFT JOIN own USING (page_id) GROUP BY ALL),
+stats AS (SELECT page_group, count(*) AS n, avg(len) AS avg_len FROM sized GROUP BY page_group),
+postings AS (SELECT page_group, page_id, url, len, token FROM sized JOIN own USING (page_id)),
+idf AS (SELECT page_group, token, avg_len, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings JOIN stats USING (page_group) GROUP BY page_group, token, n, avg_len),
+hits AS (SELECT query_id, page_group, page_id, url, round(sum(idf * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS bm25 FROM ranked JOIN asked USING (query_id) JOIN postings USING (page_group, token) JOIN idf USING (page_group, token) GROUP BY ALL)
+SELECT query_id, page_group, page_id, bm25, row_number() OVER (PARTITION BY query_id, page_group ORDER BY bm25 DESC, url, page_id) AS position FROM hits QUALIFY position <= 10""",
     "core_records": """SELECT page_id, title, CASE WHEN trim(description) <> '' THEN substr(description, 1, 300) END AS description, CASE WHEN category = 'root' THEN '' ELSE category END AS breadcrumbs,
 substr(coalesce(array_to_string(list_transform(structured_data.headings, lambda h: h.content), ' · '), ''), 1, 600) AS content, concat_ws(' ', title, category, page_group) AS keywords, url FROM doc_pages""",
     "page_sections": _SECTIONS,
@@ -180,4 +197,34 @@ coalesce(nullif(regexp_replace(regexp_replace(lower(page_group), '[^a-z0-9_-]+',
     "frontmatter": r"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '(?s)^---\r?\n(.*?)\r?\n---\r?\n?', 1) AS head, regexp_replace(text, '(?s)^---\r?\n(.*?)\r?\n---\r?\n?', '') AS body FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^title:[ \t]*(.+)$', 1), ' ' || chr(13)), '^["'']|["'']$', '', 'g')), '') AS title,
 nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^description:[ \t]*(.+)$', 1), ' ' || chr(13)), '^["'']|["'']$', '', 'g')), '') AS description, length(body)::BIGINT AS body_chars FROM f""",
+    "greedy_chunks": r"""WITH RECURSIVE p AS (SELECT doc_id, flatten(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda t: list_transform(range(0, (length(t) + 999) // 1000), lambda i: substr(t, i * 1000 + 1, 1000)))) AS q FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, q, 1 AS k, 0 AS chunk_no, q[1] AS content FROM p WHERE len(q) > 0
+  UNION ALL SELECT doc_id, q, k + 1, CASE WHEN length(content) + length(q[k + 1]) + 2 <= 1000 THEN chunk_no ELSE chunk_no + 1 END, CASE WHEN length(content) + length(q[k + 1]) + 2 <= 1000 THEN content || chr(10) || chr(10) || q[k + 1] ELSE q[k + 1] END FROM s WHERE k < len(q))
+SELECT doc_id, chunk_no, arg_max(content, k) AS content FROM s GROUP BY doc_id, chunk_no""",
+    "strip_mdx": r"""WITH RECURSIVE p AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS q FROM documents),
+s AS (SELECT doc_id, q, 0 AS k, false AS fence, 0 AS depth, []::VARCHAR[] AS kept FROM p
+  UNION ALL SELECT doc_id, q, k + 1, CASE WHEN mark THEN NOT fence ELSE fence END, CASE WHEN mark OR fence THEN depth WHEN depth > 0 THEN greatest(depth + d, 0) WHEN opens THEN d ELSE 0 END,
+    CASE WHEN mark OR fence OR (depth <= 0 AND NOT opens AND NOT component) THEN list_append(kept, line) ELSE kept END
+  FROM (SELECT *, regexp_matches(bare, '^(```|~~~)') AS mark, regexp_matches(bare, '^(import|export)[\s{(]') AS opens, regexp_matches(bare, '^</?[A-Z][\w.-]*(\s|>|/>)') AS component,
+      (len(regexp_extract_all(line, '[{(\[]')) - len(regexp_extract_all(line, '[})\]]')))::INT AS d
+    FROM (SELECT *, q[k + 1] AS line, regexp_replace(q[k + 1], '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS bare FROM s WHERE k < len(q))))
+SELECT doc_id, array_to_string(kept, chr(10)) AS body FROM s WHERE k = len(q)""",
+    "heading_levels": r"""WITH RECURSIVE p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS q FROM documents),
+s AS (SELECT doc_id, q, 0 AS k, '' AS fence, NULL::VARCHAR AS line, false AS open FROM p
+  UNION ALL SELECT doc_id, q, k + 1, CASE WHEN f = '' THEN fence WHEN fence = '' THEN f[1] WHEN fence = f[1] THEN '' ELSE fence END, l, fence = '' AND f = ''
+  FROM (SELECT *, q[k + 1] AS l, regexp_extract(q[k + 1], '^\s*(`{3,}|~{3,})', 1) AS f FROM s WHERE k < len(q))),
+h AS (SELECT doc_id, k, line, open AND regexp_matches(line, '^(#{1,6})(\s+)(.*)$') AS heading, length(regexp_extract(line, '^(#{1,6})(\s+)(.*)$', 1)) AS level,
+  regexp_replace(regexp_extract(line, '^(#{1,6})(\s+)(.*)$', 3), '^\s+|\s+$', '', 'g') AS t, regexp_extract(line, '^(#{1,6})(\s+)(.*)$', 2) || regexp_extract(line, '^(#{1,6})(\s+)(.*)$', 3) AS rest FROM s WHERE k > 0),
+m AS (SELECT *, regexp_matches(t, '^[一二三四五六七八九十百]+[、.．]\s*') AS major, regexp_matches(t, '^\d+\.\d+(?:\.\d+)*[、.．]?\s*|^[（(](?:[一二三四五六七八九十百]+|\d+)[）)]\s*') AS minor, regexp_matches(t, '^\d+[、.．]\s*') AS arabic FROM h),
+c AS (SELECT *, bool_or(heading AND major AND t <> '') OVER (PARTITION BY doc_id) AS counted FROM m),
+o AS (SELECT doc_id, k, line, CASE WHEN heading THEN repeat('#', CASE WHEN major THEN 2 WHEN minor OR (counted AND arabic) THEN 3 WHEN level = 1 THEN 2 WHEN level >= 4 THEN 3 ELSE level END::INT) || rest ELSE line END AS made FROM c)
+SELECT doc_id, string_agg(made, chr(10) ORDER BY k) AS text, count_if(made <> line)::INT AS changed FROM o GROUP BY doc_id""",
+    "publishable": r"""WITH RECURSIVE p AS (SELECT doc_id, source, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^\x{FEFF}', ''), '\r\n?', chr(10), 'g'), chr(10)) AS q FROM documents),
+s AS (SELECT doc_id, source, q, 0 AS k, false AS fence, []::VARCHAR[] AS kept FROM p
+  UNION ALL SELECT doc_id, source, q, k + 1, CASE WHEN mark THEN NOT fence ELSE fence END, list_append(kept, CASE WHEN mark OR fence THEN line WHEN regexp_matches(line, '^\s*(?:import|export)\s+') THEN ''
+    ELSE regexp_replace(regexp_replace(regexp_replace(line, '(?i)</?(?:script|iframe|object|embed|style|link|meta)\b[^>]*>', '', 'g'), '(?i)<(/?[a-z][^>]*)>', '&lt;\1&gt;', 'g'), '(?i)\]\(\s*javascript:[^)]+\)', '](#)', 'g') END)
+  FROM (SELECT *, q[k + 1] AS line, regexp_matches(q[k + 1], '^\s*(~~~|```)') AS mark FROM s WHERE k < len(q))),
+b AS (SELECT doc_id, source, regexp_replace(regexp_replace(array_to_string(kept, chr(10)), '(?s)\A---\s*\n.*?\n---\s*\n', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS body FROM s WHERE k = len(q)),
+t AS (SELECT doc_id, CASE WHEN regexp_matches(body, '(?m)^#\s+') THEN body ELSE '# ' || source || chr(10) || chr(10) || body END || chr(10) AS markdown FROM b)
+SELECT doc_id, CASE WHEN strlen(markdown) <= 1048577 THEN markdown END AS markdown FROM t""",
 }
