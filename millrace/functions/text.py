@@ -80,9 +80,14 @@ def routing_tokens(text: Column, normalize: bool = True) -> Column:
     return F.array_distinct(F.flatten(F.transform(runs, tokens)))
 
 
+def trimmed(text: Column) -> Column:
+    """Text without blanks of any kind around it."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", "")
+
+
 def blank_to_null(text: Column) -> Column:
     """Trimmed text, null where nothing is left."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(trimmed(text), F.lit(""))
 
 
 def cut(text: Column, most: int) -> Column:
@@ -97,7 +102,7 @@ def display_title(manual: Column, auto: Column, fallback: Column) -> Column:
 
 def clean_tags(tags: Column) -> Column:
     """Tags trimmed, of at most 64 code points, without empty ones, the first eight."""
-    return F.slice(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: cut(F.trim(t), 64)), lambda t: t != ""), 1, 8)
+    return F.slice(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: cut(trimmed(t), 64)), lambda t: t != ""), 1, 8)
 
 
 def first_heading(markdown: Column) -> Column:
@@ -113,8 +118,8 @@ def split_frontmatter(content: Column) -> tuple[Column, Column]:
 
 def frontmatter_value(frontmatter: Column, key: str) -> Column:
     """The value of a one-line key, trimmed and without the quotes around it; null where it isn't there."""
-    value = F.trim(F.regexp_extract(frontmatter, rf"(?m)^{key}:[^\S\n]*(.+)$", 1))
-    return F.nullif(F.trim(F.regexp_replace(value, r"""^["']|["']$""", "")), F.lit(""))
+    value = trimmed(F.regexp_extract(frontmatter, rf"(?m)^{key}:[^\S\n]*(.+)$", 1))
+    return blank_to_null(F.regexp_replace(value, r"""^["']|["']$""", ""))
 
 
 def to_json_text(value: Column) -> Column:

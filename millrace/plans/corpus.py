@@ -195,8 +195,8 @@ coalesce(nullif(lower(regexp_extract(relative_path, '[^/.](\.[^./]*)$', 1)), '')
 coalesce(nullif(regexp_replace(regexp_replace(lower(page_group), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'root') AS segment FROM q""",
     "first_headings": r"SELECT doc_id, regexp_extract(text, '(?m)^#\s+(.+)$', 1) AS heading FROM documents",
     "frontmatter": r"""WITH f AS (SELECT doc_id, text, regexp_extract(text, '(?s)^---\r?\n(.*?)\r?\n---\r?\n?', 1) AS head, regexp_replace(text, '(?s)^---\r?\n(.*?)\r?\n---\r?\n?', '') AS body FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^title:[ \t]*(.+)$', 1), ' ' || chr(13)), '^["'']|["'']$', '', 'g')), '') AS title,
-nullif(trim(regexp_replace(trim(regexp_extract(head, '(?m)^description:[ \t]*(.+)$', 1), ' ' || chr(13)), '^["'']|["'']$', '', 'g')), '') AS description, length(body)::BIGINT AS body_chars FROM f""",
+SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(head, '(?m)^title:[ \t]*(.+)$', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^["'']|["'']$', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS title,
+nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(head, '(?m)^description:[ \t]*(.+)$', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^["'']|["'']$', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS description, length(body)::BIGINT AS body_chars FROM f""",
     "greedy_chunks": r"""WITH RECURSIVE p AS (SELECT doc_id, flatten(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda t: list_transform(range(0, (length(t) + 999) // 1000), lambda i: substr(t, i * 1000 + 1, 1000)))) AS q FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, q, 1 AS k, 0 AS chunk_no, q[1] AS content FROM p WHERE len(q) > 0
   UNION ALL SELECT doc_id, q, k + 1, CASE WHEN length(content) + length(q[k + 1]) + 2 <= 1000 THEN chunk_no ELSE chunk_no + 1 END, CASE WHEN length(content) + length(q[k + 1]) + 2 <= 1000 THEN content || chr(10) || chr(10) || q[k + 1] ELSE q[k + 1] END FROM s WHERE k < len(q))
