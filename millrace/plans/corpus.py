@@ -60,7 +60,8 @@ def bloom_bits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bloom_packed(spark: SparkSession, folder: str) -> DataFrame:
-    return bloom_index.packed(_group_filters(spark, folder), ["page_group"])
+    """The packed filter of each group, over all text of its records."""
+    return bloom_index.packed(_record_filters(_record_tokens(spark, folder)), ["page_group"])
 
 
 def bloom_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +83,70 @@ def group_search(spark: SparkSession, folder: str) -> DataFrame:
     return scored(titles, chosen, asked).select("query_id", F.col("shard").alias("page_group"), F.col("record_id").alias("page_id"), "bm25", F.col("position").cast("bigint").alias("position"))
 
 
+def _record_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of the current pages with the routing tokens of all text that is searched: titles, descriptions, headings, blocks, keywords
+    and breadcrumbs. The queries over titles are bound to their SQL; these are the sets of the index."""
+    now = write_shared(current_pages(table(spark, folder, "doc_pages")), "pages")
+    core = records.core_records(now).withColumn("record_id", F.concat_ws(":", F.lit("core"), "page_id", F.lit(0), F.lit(0)))
+    body = records.body_records(now).withColumn("record_id", F.concat_ws(":", F.lit("body"), "page_id", "section_no", "chunk_no"))
+    columns = ["record_id", "page_group", "url", text.routing_tokens(records.record_text()).alias("tokens")]
+    return write_shared(core.select(*columns).unionByName(body.select(*columns)), "record-tokens")
+
+
+def _record_filters(own: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The filters of the groups. A group is bounded no more than a category, so its filter has a category's bounds."""
+    sets = write_shared(bloom_index.token_sets(own, ["page_group"], F.col("tokens")), "sets")
+    return bloom_index.filters(sets, ["page_group"], bloom_index.CATEGORY_BITS, only)
+
+
+def _record_scores(spark: SparkSession, folder: str, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of the queries, which are titles, and the score of each group."""
+    titles = _titles(spark, folder).where(F.col("page_id") % QUERY_STEP == 0)
+    asked = write_shared(titles.select(F.col("page_id").alias("query_id"), F.explode("tokens").alias("token")).distinct(), "asked")
+    wanted = write_shared(bloom_index.probes(asked, bloom_index.CATEGORY_BITS), "probes")
+    scores = bloom_index.scores(_record_filters(own, wanted), ["page_group"], asked, wanted)
+    return asked, scores.select("query_id", "page_group", F.round("score", 9).alias("score"))
+
+
+def _record_rank(scores: DataFrame) -> DataFrame:
+    top = bloom_index.ranked(scores, ["query_id"], F.col("score"), F.col("score"), [F.col("page_group")], 9)
+    return top.select("query_id", "page_group", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def record_token_df(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many records each token stands."""
+    return _record_tokens(spark, folder).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def record_token_set_size(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_index.token_sets(_record_tokens(spark, folder), ["page_group"], F.col("tokens")).groupBy("page_group").agg(F.count("*").alias("n_tokens"))
+
+
+def record_token_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_index.hashed(_record_tokens(spark, folder).select(F.explode("tokens").alias("token")).distinct()).select("token", "a", "b")
+
+
+def record_bloom_bits(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_filters(_record_tokens(spark, folder)).select("page_group", "bits", "bit")
+
+
+def record_bloom_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_scores(spark, folder, _record_tokens(spark, folder))[1]
+
+
+def record_group_rank(spark: SparkSession, folder: str) -> DataFrame:
+    return _record_rank(record_bloom_scores(spark, folder))
+
+
+def record_group_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best ten records in each of the nine best groups of each query."""
+    own = _record_tokens(spark, folder)
+    asked, scores = _record_scores(spark, folder, own)
+    chosen = _record_rank(scores).select("query_id", F.lit("record").alias("kind"), F.col("page_group").alias("shard"), "rank")
+    found = scored(own.withColumnRenamed("page_group", "shard"), chosen, asked)
+    return found.select("query_id", F.col("shard").alias("page_group"), "record_id", "bm25", F.col("position").cast("bigint").alias("position"))
+
+
 def core_records(spark: SparkSession, folder: str) -> DataFrame:
     own = records.core_records(table(spark, folder, "doc_pages"))
     return own.select("page_id", "title", "description", F.array_join("breadcrumbs", "/").alias("breadcrumbs"), "content", "keywords", "url")
@@ -160,6 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_strip_markup, text_search_form, natural_chars, routing_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, group_search, core_records, page_sections, section_records,
+        record_token_df, record_token_set_size, record_token_hashes, record_bloom_bits, record_bloom_scores, record_group_rank, record_group_search,
         fixed_chunks, greedy_chunks, page_paths, frontmatter, first_headings, strip_mdx, heading_levels, publishable,
     )
 }
