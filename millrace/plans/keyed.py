@@ -116,6 +116,14 @@ def merged_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return relational.merged(old, new, ["task", "version"], [F.col("updated"), F.col("id")])
 
 
+def merged_all_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """All jobs after an upsert of the published ones by task and version: every version takes part, those of hot tasks too. ``merged_jobs``
+    is bound to its SQL, which has the first versions only."""
+    jobs = table(spark, folder, "publish_jobs").select("task", "version", "id", "status", "updated")
+    done = F.coalesce(F.col("status") == "published", F.lit(False))
+    return relational.merged(jobs.where(~done).distinct(), jobs.where(done), ["task", "version"], [F.col("updated"), F.col("id")])
+
+
 def status_swap(spark: SparkSession, folder: str) -> DataFrame:
     return relational.swapped(table(spark, folder, "publish_jobs").select("id", "task", "version", "status").distinct(), "status", "queued", "snapshotting")
 
@@ -238,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         size_buckets, extension_buckets, largest_files, file_total, duplicate_groups, top_duplicates, redundant_bytes, prune_total, copy_check, tasks_with_jobs, tasks_without_jobs, task_memberships, latest_job, next_version,
-        only_recent_job, event_ids, trigger_checks, artifact_keys, upsert_plan, merged_jobs, status_swap, batch_plan, recent_documents, display_titles, publish_keys, region_rollup, nested_tree, tree_nodes, card_modules, module_gaps,
+        only_recent_job, event_ids, trigger_checks, artifact_keys, upsert_plan, merged_jobs, merged_all_jobs, status_swap, batch_plan, recent_documents, display_titles, publish_keys, region_rollup, nested_tree, tree_nodes, card_modules, module_gaps,
         sense_shares, card_tones, study_views, first_meanings, merged_lists, user_countdown, page_urls_unique, job_outcomes, owner_titles,
     )
 }
@@ -264,6 +272,7 @@ SELECT u AS url, (x.title IS NOT DISTINCT FROM y.title AND x.description IS NOT
     "artifact_keys": f"WITH j AS (SELECT *, coalesce(regexp_full_match(trim(task), '[a-z0-9]{{15}}') AND regexp_full_match(trim(id), '[a-z0-9]{{15}}') AND version BETWEEN 1 AND 999999999, false) AS valid FROM {_JOBS}) SELECT id, task, version, valid, CASE WHEN valid THEN 'documents/tasks/' || trim(task) || '/v' || version || '/messages/' || trim(id) || '/document.' || kind END AS blob_key, CASE kind WHEN 'md' THEN 'text/markdown; charset=utf-8' ELSE 'application/pdf' END AS content_type FROM j",
     "upsert_plan": "WITH p AS (SELECT url, page_id FROM doc_pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY updated DESC NULLS LAST, page_id DESC) = 1), e AS (SELECT url, min(doc_id) AS target_id FROM documents WHERE url IS NOT NULL GROUP BY url) SELECT url, page_id, target_id, CASE WHEN target_id IS NULL THEN 'insert' ELSE 'update' END AS action FROM p LEFT JOIN e USING (url)",
     "merged_jobs": "WITH old AS (SELECT DISTINCT task, version, id, status, updated FROM publish_jobs WHERE version = 1), new AS (SELECT task, version, id, status, updated FROM publish_jobs WHERE version <= 2 AND status = 'published' QUALIFY row_number() OVER (PARTITION BY task, version ORDER BY updated DESC NULLS LAST, id DESC) = 1) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.task = old.task AND new.version = old.version) UNION ALL SELECT * FROM new",
+    "merged_all_jobs": "WITH jobs AS (SELECT task, version, id, status, updated, coalesce(status = 'published', false) AS done FROM publish_jobs), old AS (SELECT DISTINCT task, version, id, status, updated FROM jobs WHERE NOT done), new AS (SELECT task, version, id, status, updated FROM jobs WHERE done QUALIFY row_number() OVER (PARTITION BY task, version ORDER BY updated DESC NULLS LAST, id DESC NULLS LAST) = 1) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.task = old.task AND new.version = old.version) UNION ALL SELECT * FROM new",
     "status_swap": "SELECT id, task, version, CASE WHEN status = 'queued' THEN 'snapshotting' ELSE status END AS status, coalesce(status = 'queued', false) AS swapped FROM (SELECT DISTINCT id, task, version, status FROM publish_jobs)",
     "batch_plan": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents WHERE text <> ''",
     "recent_documents": "SELECT doc_id, strftime(updated AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM documents WHERE updated IS NOT NULL ORDER BY updated DESC, doc_id LIMIT 50",
