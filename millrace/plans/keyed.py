@@ -206,13 +206,14 @@ def first_meanings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """For each category the newest pages and the pages by title, interleaved; a url only once, 36 at most."""
+    """For each category the newest pages and the pages by title, interleaved; a url only once, 36 at most. The lists
+    come whole: however often one url is exported, those after it still count."""
     pages = table(spark, folder, "doc_pages").select("category", "url", "page_id", "updated", "title")
     from pyspark.sql import Window
 
     newest = pages.select("category", "url", F.lit(0).alias("list_no"), F.row_number().over(Window.partitionBy("category").orderBy(F.desc("updated"), "page_id")).alias("place"))
     titled = pages.select("category", "url", F.lit(1).alias("list_no"), F.row_number().over(Window.partitionBy("category").orderBy("title", "page_id")).alias("place"))
-    out = round_robin(newest.where("place <= 100").unionByName(titled.where("place <= 100")), ["category"], "list_no", "place", "url", 36)
+    out = round_robin(newest.unionByName(titled), ["category"], "list_no", "place", "url", 36)
     return out.select("category", "url", F.col("merged_rank").cast("bigint").alias("merged_rank"))
 
 

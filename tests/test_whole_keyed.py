@@ -24,3 +24,14 @@ def test_all_jobs_merge(spark, tmp_path):
         want |= {(*key, r[0], r[5]) for r in ([max(done, key=lambda r: (r[6], r[0]))] if done else own)}
     got = [(r.task, r.version, r.id, r.status) for r in keyed.merged_all_jobs(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and sum(t == "hot" for t, *_ in got) == 301
+
+
+def test_lists_behind_a_hot_url(spark, tmp_path):
+    """A url exported 150 times is the newest and the first by title; the 40 others of its category still fill the list."""
+    rows = [(i, "math", "/hot", at(1000 + i), "a") for i in range(150)] + [(200 + i, "math", f"/p{i}", at(i), f"b{i:02}") for i in range(40)] + [(900, "408", "/one", at(1), "x")]
+    spark.createDataFrame(rows, "page_id long, category string, url string, updated timestamp, title string").write.parquet(f"{tmp_path}/doc_pages.parquet")
+    own = [r for r in rows if r[1] == "math"]
+    lists = [sorted(own, key=lambda r: (-r[3].timestamp(), r[0])), sorted(own, key=lambda r: (r[4], r[0]))]
+    want = list(dict.fromkeys(r[2] for turn in zip(*lists, strict=True) for r in turn))[:36]
+    got = sorted((r.category, r.merged_rank, r.url) for r in keyed.merged_lists(spark, str(tmp_path)).collect())
+    assert [u for c, _, u in got if c == "math"] == want and len(want) == 36 and got[0] == ("408", 1, "/one")
