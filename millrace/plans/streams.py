@@ -20,9 +20,9 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_once(spark: SparkSession, folder: str) -> DataFrame:
-    """The distinct messages, by a stream over the deliveries."""
+    """The distinct messages, by a stream over the deliveries: all of them, however late they or their repeats come."""
     key = event_key(*(F.col(c) for c in ("event_id", "owner_id", "task_record_id", "checksum")))
-    own = messages.once(_stream(spark, folder, "task_enrich_events"), key, "received_at", "60 days").select(F.col("_key").alias("event_id"))
+    own = messages.once_ever(_stream(spark, folder, "task_enrich_events"), key).select(F.col("_key").alias("event_id"))
     name = f"once-{uuid.uuid4().hex}"
     remove_at_exit(spark, f"{shared_dir(spark)}/stream-{name}")
     return messages.run_to_table(own, name)

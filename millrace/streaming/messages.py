@@ -21,10 +21,17 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 def once(stream: DataFrame, key: Column, event_time: str, delay: str) -> DataFrame:
     """The first delivery of each message to arrive. Repeats are known for ``delay`` behind the newest event time, so state is bounded by the
-    messages of that span; a repeat later than that is the batch operator's to find."""
+    messages of that span; a repeat later than that is the batch operator's to find. A row that comes when its event time is more than ``delay``
+    behind is dropped, be it new or not."""
     return stream.withColumn("_key", key).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_key"])
 
 
+def once_ever(stream: DataFrame, key: Column) -> DataFrame:
+    """The first delivery of each message to arrive, with no bound on lateness: no row is dropped and every repeat is known. State is one key a
+    message, so it is for runs over what is there, not for streams without end."""
+    return stream.withColumn("_key", key).dropDuplicates(["_key"])
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote: a file sink with a checkpoint, so exactly once also when it is
     started again."""
