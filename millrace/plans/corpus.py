@@ -33,6 +33,11 @@ def routing_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select("item_id", F.explode(text.routing_tokens(F.col("text"))).alias("token"))
 
 
+def document_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The routing tokens of every document by its whole text; ``routing_tokens`` is bound to its SQL, over the evaluation items."""
+    return table(spark, folder, "documents").select("doc_id", F.explode(text.routing_tokens(F.col("text"))).alias("token"))
+
+
 def _titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "doc_pages").select("page_id", "page_group", "category", text.routing_tokens(F.col("title")).alias("tokens"))
 
@@ -224,7 +229,7 @@ FROM ids JOIN doc_pages USING (page_id) LEFT JOIN joined USING (page_id, heading
 QUERIES = {
     f.__name__: f
     for f in (
-        text_strip_markup, text_search_form, natural_chars, routing_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, group_search, core_records, page_sections, section_records,
+        text_strip_markup, text_search_form, natural_chars, routing_tokens, document_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, group_search, core_records, page_sections, section_records,
         record_token_df, record_token_set_size, record_token_hashes, record_bloom_bits, record_bloom_scores, record_group_rank, record_group_search,
         fixed_chunks, greedy_chunks, page_paths, frontmatter, first_headings, strip_mdx, heading_levels, publishable,
     )
