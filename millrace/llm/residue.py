@@ -219,8 +219,9 @@ def fit(records: DataFrame, key: Column, text: Column, most: int = FIT_RECORDS)
     rows = records.select(F.xxhash64(key, text).alias("h"), text.alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_LENGTH))
     share = min(1.0, most / max(1, records.count()))
     low = F.col("h") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
-    # copies of one record fall on one side of the bar together, hence the limit: the driver never gets more than twice the sample
-    sample = [r.t for r in rows.where(low).select("t").limit(2 * most).collect()]
+    # copies of one record fall on one side of the bar together, hence the limit: the driver never gets more than twice the sample, and
+    # by the hash, so that it is the same one in each run
+    sample = [r.t for r in rows.where(low).orderBy("h", "t").limit(2 * most).collect()]
     positive = [p.features for line in TRUSTED for p in passages(line)[0]] + [["<slot>"]] * 10
     unlabelled = []
     for t in sample:

@@ -1,0 +1,12 @@
+from pyspark.sql import functions as F
+
+from millrace.llm.residue import fit
+
+
+def test_sample_beyond_the_limit(spark):
+    """Two records repeated more often than the limit, both below the bar: the model is the same whatever the order of the rows."""
+    ids = spark.range(500).select("id", F.concat(F.lit("alpha beta "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" gamma")).alias("t"))
+    low = [r.id for r in ids.orderBy(F.xxhash64("id", "t")).limit(2).collect()]
+    rows = ids.unionByName(ids.where(F.col("id") == low[0]).crossJoin(spark.range(60)).select(ids["id"], "t")).unionByName(ids.where(F.col("id") == low[1]).crossJoin(spark.range(60)).select(ids["id"], "t"))
+    models = [fit(rows.orderBy(*order).coalesce(1), F.col("id"), F.col("t"), 20) for order in ([(F.col("id") == low[0]).desc()], [(F.col("id") == low[1]).desc()])]
+    assert models[0].weights == models[1].weights and models[0].prior == models[1].prior
