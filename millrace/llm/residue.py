@@ -1,233 +1,400 @@
 """Records that hold template residue, filler or an error page instead of notes.
 
-A record is cut into passages (its lines, without code and formulas). A naive Bayes model of residue passages against others
-is learnt from positive and unlabelled ones: positive are the built-in trusted records below and those passages of a sample
-that a trusted pattern names; all others are unlabelled, begin as negative, and get their share of either class by
-expectation-maximization. Every passage of every record is then scored, and the record is decided on its passages: a
-placeholder or unfilled value outside code is enough; a message or filler must be the body, not a remark in it.
+A record is cut into passages: its lines, without code and formulas, and the short spans in them that brackets or template marks
+enclose, or that are the whole value of a label. A naive Bayes model tells passages of residue from others. It is learnt from
+positive and unlabelled passages of all records: trusted ones are positive, the others begin as negative and get their share of
+either class by expectation-maximization. Every passage of every record is scored, and a record is decided on the scores: a
+span left to fill in is enough; messages and filler must be the body, not a remark in it.
+
+Trusted are passages of the data itself: the lines of a short record that ends in a trace id or names an HTTP status; the lines
+of a short body that several records have under different titles; spans in the form of a known template language; lines of a few
+words over and over. Messages of public server software, which needn't occur in the data, are added as records of their own.
+What the unlabelled passages may add to the positive class is bounded by what is trusted, so a language or a subject of many
+unlabelled passages can't become the class.
+
+Features are hashed to a fixed number of places, so a round of expectation-maximization is one pass over the records, whose
+sums are one row a place and task; nothing grows with the data but the passes. Sums are whole numbers, so the model is the same
+whatever the partitions.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from http import HTTPStatus
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_rows, spread
+from millrace.sources.shared import write_shared
 
-#: Records of the sample that the model is fitted on, and code points of a record that may be in it.
-FIT_RECORDS, FIT_LENGTH = 8_000, 50_000
-ROUNDS = 12
+#: Places that the features of lines, and as many that those of spans, are hashed to (a power of two); rounds of
+#: expectation-maximization; parts of one in the whole-number sums.
+PLACES, ROUNDS, UNIT = 1 << 18, 5, 1 << 20
+#: Sums over all records: one a place, then the number of lines and of spans.
+_SUMS = 2 * PLACES + 2
 #: Passages that a feature's rate over all counts for beside its rate in a class, and the bounds of its log-odds.
 BACKGROUND, LEAST, MOST = 4.0, -3.0, 6.0
 #: Log-odds from which a passage is residue, and the part of a body that residue must be.
 CUT, SHARE = 0.0, 0.5
-
-# Texts of error pages, script notices, placeholders and filler as commonly seen on the web, the trusted records.
-TRUSTED = """404 Not Found. The page you requested could not be found.
-Page not found. The page you are looking for does not exist or has been moved.
-403 Forbidden. Access denied. You do not have permission to view this page.
-You cannot open this folder on this server. Request id trace reference.
-500 Internal Server Error. Something went wrong on our side. Please try again later.
-502 Bad Gateway. The upstream server returned an invalid response.
-503 Service Temporarily Unavailable. We are down for maintenance and will be back soon.
-504 Gateway time-out. The origin server did not respond in time.
-Too many requests. Your client has been rate limited; retry later.
-Application error: a client-side exception has occurred. Fatal error: uncaught exception.
-Unable to load content. Check your connection and reload the page.
-Session expired. Please sign in again to continue.
-Verify that you are human by completing the action below. Checking your browser before access.
-This page isn't working right now. The link you followed may be broken, or the page may have been removed.
-Please enable JavaScript to view this site.
-This site requires JavaScript and cookies. Check your settings and reload.
-You need to turn on scripts in your browser to run this app.
-Your browser has scripting switched off, so the page cannot be shown.
-Seite nicht gefunden. Die angeforderte Adresse existiert nicht.
-Zugriff verweigert. Interner Serverfehler. Bitte versuchen Sie es später erneut.
-Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.
-Página no encontrada. La dirección solicitada no existe.
-Error 500: ha ocurrido un fallo interno. Acceso denegado.
-Active JavaScript en su navegador para continuar.
-ページが見つかりません。お探しのページは移動または削除されました。
-アクセスが拒否されました。エラーが発生しました。しばらくしてからもう一度お試しください。
-このページを表示するには JavaScript を有効にしてください。
-抱歉，您访问的页面不存在或已被删除。
-找不到这一页，请返回首页。
-禁止访问：您没有权限查看该文档。
-服务器繁忙，请稍后再试。服务器内部错误，错误码。
-系统内部错误，我们正在抢修。请求号。
-网络异常，内容暂时无法显示。加载失败，点击重试。
-请求过于频繁，请完成验证后继续访问。
-登录已过期，请重新登录后继续。
-网站维护中，预计稍后恢复。
-该文章已下线或正在审核中，暂不可见。
-本站需要启用 JavaScript 才能正常显示，请检查浏览器设置。
-您的浏览器已禁用脚本，无法加载正文。请打开脚本支持后刷新页面。
-内容待补充，敬请期待。正文略，稍后补充。
-此页为自动生成的空白模板，请替换为实际内容。
-This page has not been written yet. This is a default page. Edit this file to add your own content.
-TODO: write this page. Replace this paragraph with the real text. Content coming soon. To be written.
-Lorem ipsum dolor sit amet, consectetur adipiscing elit.
-placeholder text sample text dummy content your text here
-test test foo bar asdf qwer blah blah xxx
-占位文字 测试文本 示例内容 测试测试""".split("\n")
-
-# The forms of placeholders of common template languages and of notes to fill in.
-PLACEHOLDER = regex.compile(
-    r"""\{\{\{?[^{}\n]{1,80}\}?\}\}|\$\{[^{}\n]{1,80}\}|<%[=-]?[^%\n]{1,80}%>|\{%[^%\n]{1,80}%\}|\#\{[^{}\n]{1,80}\}|%\([\w.]{1,60}\)s
-    |__[A-Z][A-Z0-9_]{1,60}__|\[\[[A-Z][A-Z0-9_]{1,60}\]\]|%[A-Z][A-Z0-9]*_[A-Z0-9_]{1,60}%|@@[\w.]{1,60}@@
-    |\[(?i:insert|enter|add|your)\ [^\[\]\n]{1,60}\](?!\()|\[[^\[\]\n]{1,60}\ (?i:goes\ here|here)\](?!\()|<(?i:your|insert|enter)\ [^<>\n]{1,60}>
-    |【(?:此处|在此|请)[^【】\n]{1,30}】|[（(](?:请在此|此处|在此)[^（）()\n]{1,30}[）)]|\[(?:此处|在此|请在此)[^\[\]\n]{1,30}\]
-    |\[object\ Object\]|\bNaN-NaN(?:-NaN)?\b|(?i:invalid\ date\s*$)
-    |【(?:ここに|hier|inserte|aquí)[^【】\n]{1,30}】|[（(]ここに[^（）()\n]{1,30}[）)]""",
-    regex.X | regex.M,
+#: A passage's share of the positive class below which it counts as negative: many passages of a small share can't move the class.
+LIKELY = 0.5
+#: Code points and lines of a short body; records that must have it, under different titles, to be trusted.
+SHORT, SHORT_LINES, AGAIN = 240, 3, 3
+#: Code points of a span at most.
+SPAN = 120
+
+# Messages of public server software and frameworks, and of their translations: records to learn from.
+PUBLIC = """The requested URL was not found on this server.
+Oops! That page can't be found. It looks like nothing was found at this location.
+There is currently no text in this page.
+You don't have permission to access this resource.
+The server encountered an internal error or misconfiguration and was unable to complete your request.
+The server is temporarily unable to service your request due to maintenance downtime or capacity problems.
+The gateway did not receive a timely response from the upstream server.
+The proxy server received an invalid response from an upstream server.
+We're sorry, but something went wrong. If you are the application owner check the logs for more information.
+An error occurred. Sorry, the page you are looking for is currently unavailable. Try again in a few minutes.
+Checking if the site connection is secure. Please stand by, while we are checking your browser.
+Your session has timed out. Please log in again.
+You need to enable JavaScript to run this app.
+JavaScript must be enabled in order for you to use this site. However, it seems JavaScript is either disabled or not supported by your browser.
+For full functionality of this site it is necessary to enable JavaScript. Turn on scripting in your browser and reload the page.
+If you see this page, the web server is successfully installed. Replace this file with your own content.
+This page is under construction. Content to be added. TBD. To do: fill in this section.
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Der angeforderte URL konnte auf dem Server nicht gefunden werden.
+Der Zugriff auf das angeforderte Objekt ist nicht möglich. Es ist ein Fehler aufgetreten.
+Um diese Anwendung zu verwenden, muss JavaScript im Browser aktiviert sein.
+Diese Seite befindet sich im Aufbau. Inhalt folgt.
+No se ha localizado la URL solicitada en este servidor.
+Se ha producido un error interno en el servidor. No tiene permiso para acceder.
+Debe activar JavaScript en el navegador para utilizar esta aplicación.
+Página en construcción. Contenido pendiente.
+要求された URL は本サーバでは見つかりませんでした。
+サーバ内部で障害が発生しました。アクセスする権限がありません。後でもう一度試してください。
+このサイトを利用するには、ブラウザの JavaScript を有効にする必要があります。
+このページは準備中です。内容は後日追加します。
+在服务器上没有找到请求的网址。网页不存在。
+您没有访问该资源的权限。拒绝访问。
+服务器遇到内部错误，无法完成您的请求，请稍后重试。
+您的会话已超时，请重新登录。
+您需要启用 JavaScript 才能运行此应用。请在浏览器设置中启用脚本后重新加载页面。
+页面建设中，内容稍后添加。请在此处填写内容。
+暂无正文，敬请期待。本节内容待完善，稍后补充。""".split("\n")
+#: Records that one of the messages counts for.
+PUBLIC_WEIGHT = 1
+
+# The forms of placeholders of template languages, workflow expressions and notes to fill in: trusted spans.
+KNOWN = regex.compile(
+    r"""\{\{\{?[^{}\n]+\}?\}\}|\$\{[^{}\n]+\}|<%[=-]?[^%\n]+%>|\{%[^%\n]+%\}|\#\{[^{}\n]+\}|%\([\w.]+\)s
+    |__[A-Z][A-Z0-9_]+__|\[\[[A-Z][A-Z0-9_]+\]\]|%[A-Z][A-Z0-9]*_[A-Z0-9_]+%|@@[\w.]+@@
+    |\[(?i:insert|enter|add|your)\ [^\[\]\n]+\]|\[[^\[\]\n]+\ (?i:goes\ here|here)\]|<(?i:your|insert|enter)\ [^<>\n]+>
+    |[【(（\[](?:此处|在此|请在此|请在|请填)[^】)）\]\n]+[】)）\]]|[【(（\[](?:ここに|hier|inserte|aquí)[^】)）\]\n]+[】)）\]]|\[object\ Object\]""",
+    regex.X,
+)
+# What programs write for a value that isn't there.
+UNFILLED = regex.compile(r"undefined|null|NaN|None|nil|NaN-NaN(?:-NaN)?|Invalid Date", regex.I)
+#: Spans: template marks and brackets of any kind around a few words.
+_SPAN = regex.compile(
+    rf"""\{{\{{\{{?[^{{}}\n]{{1,{SPAN}}}\}}?\}}\}}|[$\#]?\{{[^{{}}\n]{{1,{SPAN}}}\}}|<%[^%\n]{{1,{SPAN}}}%>|\{{%[^%\n]{{1,{SPAN}}}%\}}|%\([\w.]{{1,{SPAN}}}\)s|__\w{{1,{SPAN}}}?__|%[A-Za-z]\w{{1,{SPAN}}}%
+    |@@[\w.]{{1,{SPAN}}}@@|\[\[[^\[\]\n]{{1,{SPAN}}}\]\]|\[[^\[\]\n]{{1,{SPAN}}}\](?![(:\[])|<[^<>/\n=]{{1,{SPAN}}}>|【[^【】\n]{{1,{SPAN}}}】|[（(][^（）()\n]{{1,{SPAN}}}[）)]""",
+    regex.X,
 )
-#: A value left unfilled: the whole of a heading or of what follows a label.
-UNFILLED = regex.compile(r"^\s*(?:\#{1,6}\s*|[\p{L}_ ]{1,30}[:：]\s*)(?:undefined|null|NaN|None|nil)\s*$", regex.M)
+_SPAN_HINT = regex.compile(r"[{%\[<@【(（]|__")
+#: A value that is all of a heading or of what follows a label.
+_VALUE = regex.compile(r"\s*(?:(#{1,6})\s*|[\p{L}_ ]{1,30}[:：]\s*)([^\s#][^\n]{0,40}?)\s*$")
+_WORDS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|\p{Lu}?[\p{Ll}\p{Lo}\p{M}']+|\p{Lu}+(?!\p{Ll})")
 _CODE = regex.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[^\n]*$|\Z)|`[^`\n]+`|\$\$.*?\$\$|(?<![\\$])\$(?![{$])[^$\n]+\$", regex.S | regex.M)
+_CODE_HINT = regex.compile(r"[`~$]")
 _HIDDEN = regex.compile(r"\p{Cf}+")
-#: What a text must hold for the patterns above to find anything in it.
-_CODE_HINT, _SLOT_HINT, _EMPTY_HINT = regex.compile(r"[`~$]"), regex.compile(r"[{%\[<@【(（]|__|NaN|(?i:invalid)"), regex.compile(r"undefined|null|NaN|None|nil")
 _TAG = regex.compile(r"</?[A-Za-z][^<>\n]*>")
+_HTML = regex.compile(r"</?(?:h[1-6r]|p|div|span|i|b|em|strong|a|br|ul|ol|li|table|tr|td|th|img|code|pre|center|title|body|html|head|sub|sup|u|s|details|summary)\b[^<>\n]*>", regex.I)
 _NUMBER = regex.compile(r"\d+(?:[.,]\d+)*")
-_TRACE = regex.compile(r"\b[a-z]{2,12}-[0-9a-f]{5,32}\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", regex.I)
+_TRACE = regex.compile(r"\b[a-z]{2,12}-(?=[a-f]*\d)[0-9a-f]{5,32}\b|\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", regex.I)
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]+|[\p{L}\p{M}']+|<\w+>")
 _END = regex.compile(r"[.!?。！？…:：;；।][\"'”’»」』)）\]]*\s*$")
 _BLOCK = regex.compile(r"^\s*(?:[-*+]\s|\d+[.)]\s|\||>\s)")
 _EMPTY_LINE = regex.compile(r"(?:<trace>|<num>|[\s\W_])*+")
+#: Public names of failures: "404 Not Found".
+_STATUS = regex.compile("|".join(rf"{s.value}\W+{regex.escape(s.phrase)}" for s in HTTPStatus if s.value >= 400), regex.I)
+
+TITLE, BODY, SLOT = 0, 1, 2
+_SCHEMA = "doc_id bigint, places array<int>, sizes array<int>, lengths array<int>, roles array<int>, trusted array<boolean>, body_key bigint, title_key bigint, code int"
+_places: dict[str, int] = {}
 
 
 @dataclass
 class Passage:
-    """A line of a record: its features, whether trusted patterns name it, and its weight as body text."""
+    """A line or span of a record: its features, its role, whether a pattern makes it trusted, and its weight as body text."""
 
-    features: list[str]
-    placeholder: bool
-    filler: bool
+    features: set[str]
+    role: int
+    trusted: bool
     length: int
-    content: bool
 
 
-def _features(line: str) -> list[str]:
+def place(feature: str, span: bool = False) -> int:
+    """Where a feature is counted."""
+    at = _places.get(feature)
+    if at is None:
+        if len(_places) >= 500_000:
+            _places.clear()
+        _places[feature] = at = zlib.crc32(feature.encode()) & (PLACES - 1)
+    return at + PLACES if span else at
+
+
+def _line_features(line: str) -> list[str]:
     out: list[str] = []
     for word in _WORD.findall(line):
-        first = word[0]
-        if first > "⺀" and first != "'":
+        if word[0] > "⺀":
             out += [word[i : i + 2] for i in range(len(word) - 1)] or [word]
         else:
             out.append(word)
     return out
 
 
-def _filler(features: list[str]) -> bool:
-    """Few different words over and over: at least 12, on average each three times."""
-    return len(features) >= 12 and len(set(features)) * 3 <= len(features)
+def _span_features(kind: str, inner: str, alone: bool) -> set[str]:
+    """Features of a span: its marks, the words in it, its form and whether it is all of its line."""
+    words = _WORDS.findall(inner)
+    out = {"marks " + kind, "alone" if alone else "within"}
+    for word in words:
+        if word[0] > "⺀":
+            out.update("in " + word[i : i + 2] for i in range(max(1, len(word) - 1)))
+        else:
+            out.add("in " + word.casefold())
+    bare = inner.strip()
+    form = "number" if any(c.isdigit() for c in bare) else "upper" if bare.isupper() else "name" if regex.fullmatch(r"[=$\w. ]+", bare) and " " not in bare.lstrip("=$ ") else "words"
+    out.add("form " + form)
+    return out
+
+
+def _marks(span: str) -> tuple[str, str]:
+    """The marks around a span's words, and what they enclose."""
+    start = len(span) - len(span.lstrip("{[<(（【$#%@_=-"))
+    end = len(span.rstrip("}]>)）】%@_s" if span.startswith("%(") else "}]>)）】%@_-"))
+    start = min(start, end)
+    return span[:start].replace("=", "").replace("-", "") + " " + span[end:], span[start:end]
+
+
+def _spans(line: str) -> list[Passage]:
+    out = []
+    rest = line.strip().lstrip("# ")
+    value = _VALUE.match(line)
+    if value and len(value.group(2)) <= 40:
+        inner = value.group(2).strip("\"'")
+        word = UNFILLED.fullmatch(inner) is not None
+        if word or not regex.search(r"\s", inner):
+            features = {"marks " + ("#" if value.group(1) else ":"), "alone", "is " + inner.casefold() if len(inner) <= 20 else "is long"}
+            out.append(Passage(features, SLOT, word, 0))
+    if _SPAN_HINT.search(line):
+        for m in _SPAN.finditer(line):
+            span = m.group()
+            if span[0] == "<" and _HTML.fullmatch(span):
+                continue
+            kind, inner = _marks(span)
+            if inner.strip():
+                out.append(Passage(_span_features(kind, inner, span == rest), SLOT, KNOWN.fullmatch(span) is not None, 0))
+    return out
+
 
+def passages(text: str) -> tuple[list[Passage], int, str | None, str]:
+    """The passages of a record, the code points of code and formulas in it, its masked body where that is short, and its title lines.
 
-def passages(text: str) -> tuple[list[Passage], int]:
-    """The passages of a record, and the code points of code and formulas in it."""
+    A passage is trusted here by what is in the record alone; see ``marked`` for short bodies of several records."""
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).replace("\u2028", "\n"))
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).replace(" ", "\n"))
     bare = _CODE.sub(" ", text) if _CODE_HINT.search(text) else text
-    slots, empty, tags = _SLOT_HINT.search(bare), _EMPTY_HINT.search(bare), "<" in bare
-    out = []
+    code = len(text) - len(bare)
+    out: list[Passage] = []
+    lines: list[Passage] = []
+    masked: list[str] = []
+    titles: list[str] = []
+    failure = False
+    number = 0
     for line in regex.split(r"[\r\n]+", bare):
-        unfilled = bool(empty and UNFILLED.match(line))
-        held = unfilled or bool(slots and PLACEHOLDER.search(line))
-        plain = PLACEHOLDER.sub(" <slot> ", line) if held else line
-        if "-" in plain:
+        spans = _spans(line)
+        out += spans
+        plain = line
+        if any(s.trusted for s in spans):
+            plain = KNOWN.sub(" ", plain)
+        trace = "-" in plain and _TRACE.search(plain) is not None
+        if trace:
             plain = _TRACE.sub(" <trace> ", plain)
         plain = _NUMBER.sub(" <num> ", plain)
-        if tags:
-            plain = _TAG.sub(lambda m: m.group() if m.group() in ("<num>", "<trace>", "<slot>") else " ", plain)
+        if "<" in plain:
+            plain = _TAG.sub(lambda m: m.group() if m.group() in ("<num>", "<trace>") else " ", plain)
         plain = plain.casefold()
-        if unfilled:
-            plain += " <slot>"
-        elif not held and _EMPTY_LINE.fullmatch(plain):
+        if _EMPTY_LINE.fullmatch(plain):
+            failure = failure or trace
             continue
-        features = _features(plain)
-        out.append(Passage(features, held, _filler(features), len(line.strip()), bool(_END.search(line) or _BLOCK.match(line))))
-    return out, len(text) - len(bare)
-
-
-class Model:
-    """Log-odds of each feature, fitted on positive and unlabelled passages."""
-
-    def __init__(self, positive: list[list[str]], unlabelled: list[list[str]], rounds: int = ROUNDS):
-        sets_p, sets_u = [set(f) for f in positive], [f for f in map(set, unlabelled) if f]
-        seen = Counter(w for s in sets_u for w in s)
-        kept = {w for s in sets_p for w in s} | {w for w, n in seen.items() if n > 1}
-        index = {w: i for i, w in enumerate(sorted(kept))}
-        base = np.zeros(len(index))
-        for s in sets_p:
-            base[[index[w] for w in s]] += 1
-        words = np.array([index[w] for s in sets_u for w in s if w in index], np.int64)
-        sizes = np.array([sum(w in index for w in s) for s in sets_u], np.int64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        all_u = np.bincount(words, minlength=len(index)).astype(float)
-        back = BACKGROUND * (base + all_u) / max(1, len(sets_p) + len(sizes))
-        share = np.zeros(len(sizes))
-        for _ in range(rounds):
-            weight = share.sum()
-            more = np.bincount(words, share[owner], minlength=len(index))
-            n_p, n_n = len(sets_p) + weight, max(1.0, len(sizes) - weight)
-            odds = np.log((base + more + back) / (n_p + BACKGROUND)) - np.log((np.maximum(0, all_u - more) + back) / (n_n + BACKGROUND))
-            odds = np.clip(odds, LEAST, MOST)
-            prior = min(0.5, max(0.001, (weight or len(sets_p)) / max(1, len(sizes))))
-            self.prior = math.log(prior / (1 - prior))
-            scores = self.prior + np.bincount(owner, odds[words], minlength=len(sizes))
-            before, share = share, 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-            if not len(sizes) or np.abs(share - before).max() < 1e-3:
-                break
-        self.weights = dict(zip(index, odds.tolist(), strict=True))
-
-    def score(self, features) -> float:
-        """Log-odds that a passage with these features is residue; features never seen don't count."""
-        get = self.weights.get
-        return self.prior + sum([get(w, 0.0) for w in set(features)])
-
-
-def decide(text: str, model: Model) -> bool:
-    """Whether a record is residue."""
-    parts, code = passages(text)
-    residue, content, titles = 0, code, 0
-    for i, part in enumerate(parts):
-        odd = part.filler or model.score(part.features) > CUT
-        if part.placeholder and model.score(["<slot>"]) > CUT:
-            return True
-        if odd:
-            residue += part.length
-        elif part.content:
-            content += part.length
-        elif i < 3 and titles < 2:  # a title, a line of navigation
-            titles += 1
-        else:
-            content += part.length
-    return residue > 0 and residue >= SHARE * (residue + content)
-
-
-def fit(records: DataFrame, key: Column, text: Column, most: int = FIT_RECORDS) -> Model:
-    """A model from the trusted records and a sample of about ``most`` records of up to FIT_LENGTH code points: those whose hash is below a
-    bar set by the number of records, so the same ones whatever the partitions, and only they reach the driver."""
-    rows = records.select(F.xxhash64(key, text).alias("h"), text.alias("t")).where((F.length("t") > 0) & (F.length("t") <= FIT_LENGTH))
-    share = min(1.0, most / max(1, records.count()))
-    low = F.col("h") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
-    # copies of one record fall on one side of the bar together, hence the limit: the driver never gets more than twice the sample, and
-    # by the hash, so that it is the same one in each run
-    sample = [r.t for r in rows.where(low).orderBy("h", "t").limit(2 * most).collect()]
-    positive = [p.features for line in TRUSTED for p in passages(line)[0]] + [["<slot>"]] * 10
-    unlabelled = []
-    for t in sample:
-        for part in passages(t)[0]:
-            (positive if part.placeholder or part.filler else unlabelled).append(part.features)
-    return Model(positive, unlabelled)
+        status = len(line) <= 80 and _STATUS.search(line) is not None
+        failure = failure or trace or status
+        features = _line_features(plain)
+        different = set(features)
+        again = len(features) >= 12 and len(different) * 3 <= len(features)
+        if again:
+            different.add("over and over")
+        content = trace or status or again or _END.search(line) is not None or _BLOCK.match(line) is not None
+        role = TITLE if not content and number < 3 and len(titles) < 2 else BODY
+        number += 1
+        (titles if role == TITLE else masked).append(" ".join(plain.split()))
+        part = Passage(different, role, again, len(line.strip()))
+        lines.append(part)
+        out.append(part)
+    body = [p for p in lines if p.role == BODY]
+    short = 0 < len(body) <= SHORT_LINES and code == 0 and sum(p.length for p in body) <= SHORT
+    if short and failure:
+        for part in body:
+            part.trusted = True
+    return out, code, "\n".join(masked) if short else None, "\n".join(titles)
+
+
+def _key(text: str) -> int:
+    return (zlib.crc32(text.encode()) << 31) ^ zlib.adler32(text.encode())
+
+
+def _rows(doc: int | None, text: str) -> Iterator[tuple]:
+    parts, code, body, title = passages(text)
+    if not parts:
+        return iter([])
+    places = [sorted({place(f, p.role == SLOT) for f in p.features}) for p in parts]
+    row = (doc, [x for own in places for x in own], [len(own) for own in places], [p.length for p in parts], [p.role for p in parts], [p.trusted for p in parts], None if body is None else _key(body), _key(title), code)
+    return iter([row])
+
+
+def parsed(records: DataFrame, key: Column, text: Column) -> DataFrame:
+    """The passages of each record as places of their features, in a written table."""
+    rows = records.select(key.cast("bigint").alias("doc_id"), text.alias("text")).where("text IS NOT NULL AND text != ''")
+    return write_shared(map_rows(spread(rows), _SCHEMA, lambda: _rows), "passages")
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``again``: whether at least AGAIN records have this short body, and not all under one title. Only short records are
+    shuffled, combined before by their keys."""
+    short = rows.where("body_key IS NOT NULL")
+    again = short.groupBy("body_key").agg(F.count("*").alias("n"), F.min("title_key").alias("a"), F.max("title_key").alias("b")).where(f"n >= {AGAIN} AND a != b").select("body_key", F.lit(True).alias("again"))
+    found = write_shared(short.join(again, "body_key", "left").select(*rows.columns, F.coalesce("again", F.lit(False)).alias("again")), "short")
+    return rows.where("body_key IS NULL").withColumn("again", F.lit(False)).unionByName(found)
+
+
+class Batch:
+    """The passages of an Arrow batch of records as flat arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        self.places, sizes = flat("places"), flat("sizes").astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.lengths, self.roles = flat("lengths").astype(np.int64), flat("roles")
+        counts = np.array(batch.column("roles").value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        self.records = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        again = np.repeat(batch.column("again").to_numpy(zero_copy_only=False).astype(bool), counts)
+        self.trusted = flat("trusted").astype(bool) | (again & (self.roles == BODY))
+        self.code = batch.column("code").to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def scores(self, weights: np.ndarray, priors: np.ndarray) -> np.ndarray:
+        return priors[(self.roles == SLOT).astype(int)] + np.add.reduceat(weights[self.places], self.starts)
+
+    def residue(self, weights: np.ndarray, priors: np.ndarray) -> np.ndarray:
+        """Which records are residue."""
+        odd = self.scores(weights, priors) > CUT
+        slot = np.add.reduceat((odd & (self.roles == SLOT)).astype(np.int64), self.records) > 0
+        bad = np.add.reduceat(np.where(odd & (self.roles != SLOT), self.lengths, 0), self.records)
+        good = np.add.reduceat(np.where(~odd & (self.roles == BODY), self.lengths, 0), self.records) + self.code
+        return slot | ((bad > 0) & (bad >= SHARE * (bad + good)))
+
+
+def _summed(rows: DataFrame, count, columns: int) -> np.ndarray:
+    """Sums over all records, as many as _SUMS. ``count`` gives the sums of a batch. A task adds up its own
+    first, so that many rows a task at most are shuffled, and that many come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((columns, _SUMS), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += count(Batch(batch))
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(c[at]) for c in total]], names=["place", *[f"c{i}" for i in range(columns)]])
+
+    parts = rows.mapInArrow(run, ", ".join(["place int", *[f"c{i} bigint" for i in range(columns)]]))
+    table = parts.groupBy("place").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(columns)]).toArrow()
+    out = np.zeros((columns, _SUMS), np.int64)
+    for i in range(columns):
+        out[i][table.column("place").to_numpy()] = table.column(f"c{i}").to_numpy()
+    return out
+
+
+def _weighed(batch: Batch, values: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers, one a passage, at the places of its features, and over lines and spans. They stay below 2^53, so are exact."""
+    slot = batch.roles == SLOT
+    return np.append(np.bincount(batch.places, values[batch.owner], minlength=2 * PLACES), [values[~slot].sum(), values[slot].sum()]).astype(np.int64)
+
+
+def _trusted_counts(batch: Batch) -> np.ndarray:
+    yes = batch.trusted.astype(np.int64)
+    return np.stack([_weighed(batch, yes), _weighed(batch, 1 - yes)])
+
+
+def _share_counts(batch: Batch, weights: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    share = np.rint(UNIT / (1 + np.exp(-np.clip(batch.scores(weights, priors), -30, 30))))
+    return _weighed(batch, np.where(batch.trusted | (share < LIKELY * UNIT), 0, share).astype(np.int64))[None]
+
+
+def learn(count, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The log-odds of each place and the priors of lines and spans. ``count(f, n)`` gives the ``n`` sums of ``f`` over all records."""
+    trusted, others = (c.astype(float) for c in count(_trusted_counts, 2))
+    for line in PUBLIC:
+        trusted[[*{place(f) for p in passages(line)[0] if p.role != SLOT for f in p.features}, 2 * PLACES]] += PUBLIC_WEIGHT
+    kind = np.repeat([0, 1], PLACES)
+    (yes, n_yes), (no, n_no) = (np.split(c, [2 * PLACES]) for c in (trusted, np.maximum(others, 0)))
+    n_no = np.maximum(n_no, 1)
+    back = BACKGROUND * (yes + no) / (n_yes + n_no)[kind]
+    seen = yes + no > 0
+    more, weight, weights = np.zeros(2 * PLACES), np.zeros(2), np.zeros(2 * PLACES)
+    for step in range(rounds + 1):
+        before, weights = weights, np.zeros(2 * PLACES)
+        up = (yes + more + back)[seen] / (n_yes + weight + BACKGROUND)[kind[seen]]
+        down = (np.maximum(0, no - more) + back)[seen] / (np.maximum(1, n_no - weight) + BACKGROUND)[kind[seen]]
+        weights[seen] = np.clip(np.log(up / down), LEAST, MOST)
+        share = np.clip((n_yes + weight) / (n_yes + n_no), 1e-6, 0.5)
+        priors = np.log(share / (1 - share))
+        if step == rounds or np.abs(weights - before).max() < 0.05:
+            break
+        sums = count(lambda b, w=weights, p=priors: _share_counts(b, w, p), 1)[0] / UNIT
+        # the unlabelled passages of a kind never weigh more than its trusted ones
+        scale = np.minimum(1, n_yes / np.maximum(sums[2 * PLACES :], 1e-9))
+        more, weight = sums[: 2 * PLACES] * scale[kind], sums[2 * PLACES :] * scale
+    return weights, priors
+
+
+def batch_of(texts: list[str]) -> pa.RecordBatch:
+    """Texts as one batch of parsed records, ``doc_id`` their position; those without passages are left out."""
+    return _batch([r for i, t in enumerate(texts) if t for r in _rows(i, t)])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    titles: dict[int, list[int]] = {}
+    for r in rows:
+        if r[6] is not None:
+            titles.setdefault(r[6], []).append(r[7])
+    again = [r[6] is not None and len(titles[r[6]]) >= AGAIN and len(set(titles[r[6]])) > 1 for r in rows]
+    names = ["doc_id", "places", "sizes", "lengths", "roles", "trusted", "body_key", "title_key", "code", "again"]
+    kinds = [pa.int64(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    columns = [[r[i] for r in rows] for i in range(9)] + [again]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def fit_batch(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The model of one batch without Spark: the same sums over it."""
+    batch = Batch(rows)
+    return learn(lambda f, n: f(batch))
 
 
 def residue(records: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -235,16 +402,16 @@ def residue(records: DataFrame, key: Column, text: Column) -> DataFrame:
 
     Null, empty and blank texts aren't residue (they hold nothing to judge); texts are judged whole; repeated rows give their
     id once; an empty table gives no rows."""
-    rows = records.select(key.cast("bigint").alias("doc_id"), text.alias("text")).where("text IS NOT NULL AND text != ''")
-    model = records.sparkSession.sparkContext.broadcast(fit(records, key, text))  # bounded by the sample's passages
-
-    def make():
-        def judge(doc: int, text: str) -> Iterator[tuple]:
-            return iter([(doc,)] if decide(text, model.value) else [])
+    rows = marked(parsed(records, key, text))
+    context = records.sparkSession.sparkContext
+    model = context.broadcast(learn(lambda f, n: _summed(rows, f, n)))  # 2 * PLACES numbers
 
-        return judge
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(Batch(batch).residue(*model.value)))], names=["doc_id"])
 
-    return map_rows(spread(rows), "doc_id bigint", make).distinct()
+    return rows.mapInArrow(judge, "doc_id bigint").distinct()
 
 
 def p8_found(spark, folder: str) -> DataFrame:
