@@ -5,27 +5,35 @@ punctuation, markup, spacing and invisible characters do not count. Each token o
 other token the same foreign symbol, so a passage of WINDOW tokens is a string of WINDOW symbols. All passages of all items
 go into one Aho-Corasick automaton; each document is scanned once, and the token offsets of a hit lead back to the code
 points of the stored text.
+
+Items of more text than one automaton is made for (``AUTOMATON``) aren't sent to the tasks. Their passages are a table of
+digests then, and a filter of bounded size over all of them; each document is still scanned once, by a rolling hash, and only
+passages that the filter lets through are joined with the table. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_rows, spread
+from millrace.sources.shared import write_shared
 
 #: Consecutive shared tokens that make a leak.
 WINDOW = 20
-#: Tokens of evaluation items that one automaton holds (about 100 bytes each and window place); more go into further ones.
-TOKENS_PER_AUTOMATON = 200_000
-#: Code points of all evaluation items together; they are sent to every task, so more is refused.
-ITEMS_LIMIT = 20_000_000
+#: Code points of all evaluation items up to which they are one automaton in each task (a token of an item takes up to 2,000 bytes of it).
+AUTOMATON = 200_000
+#: Bits of the filter over the passages of more items: at most, and for each code point of the items.
+FILTER_BITS, BITS_PER_POINT = 1 << 28, 16
 #: Remembered raw tokens before the table is emptied.
 REMEMBER = 200_000
 
@@ -121,57 +129,168 @@ def _scanner(items: list[tuple[int, str]], window: int) -> Scanner:
     return kept[2]
 
 
-def _blocks(items: DataFrame, item_id: Column, text: Column) -> list[list[tuple[int, str]]]:
-    """The evaluation items on the driver, in blocks of one automaton each; refused beyond ITEMS_LIMIT."""
-    rows = items.select(item_id.cast("bigint").alias("i"), text.alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
-    size = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if size > ITEMS_LIMIT:
-        raise ValueError(f"the evaluation items have {size} code points; {ITEMS_LIMIT} can be sent to the tasks")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for i, t in sorted(tuple(r) for r in rows.distinct().collect()):
-        if held and held + len(t) > TOKENS_PER_AUTOMATON:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((i, t))
-        held += len(t)
-    return blocks
-
-
-def _scan(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, window: int, spans: bool) -> DataFrame:
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+
+
+#: An odd number, its inverse modulo 2^64, and how many of their powers are made at a time.
+_BASE, _BACK, _STEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 1 << 16
+
+
+def _window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each window of token hashes, by differences of a running sum; whole numbers modulo 2^64, in blocks that overlap by a window."""
+    out = [np.zeros(0, np.uint64)]
+    for start in range(0, max(0, len(hashes) - window + 1), _STEP):
+        own = hashes[start : start + _STEP + window - 1]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(own * _powers(_BASE, len(own)), dtype=np.uint64)])
+        out.append((sums[window:] - sums[:-window]) * _powers(_BACK, len(sums) - window))
+    return np.concatenate(out)
+
+
+_known_powers: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    known = _known_powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, _STEP + 64), base, np.uint64)
+        known[0] = 1
+        _known_powers[base] = known = np.cumprod(known, dtype=np.uint64)
+    return known[:n]
+
+
+def _bits(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The positions of hashes in a filter: three each."""
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    step = (mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(17) | np.uint64(1)
+    return [(mixed + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(3)]
+
+
+def _digest(passage: list[str]) -> bytes:
+    return hashlib.blake2b("\0".join(passage).encode(), digest_size=16).digest()
+
+
+class _Hasher:
+    """Tokens of texts with their hashes; the hashes of tokens seen before are remembered in a table of bounded size."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        seen = self.seen
+        if len(seen) > REMEMBER:
+            seen.clear()
+        return np.array([seen[w] if w in seen else seen.setdefault(w, _token_hash(w)) for w in words], np.uint64)
+
+
+def _item_passages(items: DataFrame, window: int) -> DataFrame:
+    """``digest``, ``item_id``, ``at`` (its first place) of each passage of the items (i, t), and its ``hash``; in a written table."""
+
+    def make():
+        hasher = _Hasher()
+
+        def passages(item: int, text: str) -> Iterator[tuple]:
+            words = tokens(text)
+            hashes = _window_hashes(hasher(words), window).view(np.int64).tolist()
+            return ((_digest(words[at : at + window]), item, at, h) for at, h in enumerate(hashes))
+
+        return passages
+
+    rows = map_rows(spread(items), "digest binary, item_id bigint, at int, hash bigint", make)
+    return write_shared(rows.groupBy("digest", "item_id", "hash").agg(F.min("at").alias("at")), "passages")
+
+
+def _filter(passages: DataFrame, bits: int) -> np.ndarray:
+    """The filter of the passages as words of 64 bits; a word is put together before it is shuffled, and no more than ``bits`` / 64 come to the driver."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = np.unique(np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), bits)))
+                word = at >> np.uint64(6)
+                starts = np.flatnonzero(np.diff(word, prepend=np.uint64(1 << 63)))
+                value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), starts)
+                yield pa.RecordBatch.from_arrays([pa.array(word[starts].astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
+
+    table = passages.select("hash").mapInArrow(words, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[table.column("word").to_numpy()] = table.column("value").to_numpy()
+    return out.view(np.uint64)
+
+
+def _possible(rows: DataFrame, window: int, bits: int, words, spans: bool) -> DataFrame:
+    """The passages of documents (row_id, doc_id, text) that the filter lets through: ``digest`` and, for spans, the token and the code points."""
+
+    def make():
+        hasher = _Hasher()
+
+        def passages(row: int, doc: int, text: str) -> Iterator[tuple]:
+            own = [(part, m) for m in _TOKEN.finditer(text) for part in _parts(m.group())] if spans else None
+            parts = [part for part, _ in own] if spans else tokens(text)
+            hashes = _window_hashes(hasher(parts), window)
+            left = np.arange(len(hashes))
+            for at in (_bits(hashes, bits) if len(hashes) else []):
+                place = at[left]
+                left = left[(words.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            for i in left.tolist():
+                digest = _digest(parts[i : i + window])
+                yield (row, doc, digest, i, own[i][1].start(), own[i + window - 1][1].end()) if spans else (row, doc, digest, 0, 0, 0)
+
+        return passages
+
+    return map_rows(rows, "row_id bigint, doc_id bigint, digest binary, begin int, doc_start int, doc_end int", make)
+
+
+def _joined(rows: DataFrame, items: DataFrame, size: int, window: int, spans: bool) -> DataFrame:
+    """The result where the items are too many for an automaton; see the module."""
+    passages = _item_passages(items, window)
+    bits = min(FILTER_BITS, 1 << max(16, (size * BITS_PER_POINT - 1).bit_length()))
+    words = rows.sparkSession.sparkContext.broadcast(_filter(passages, bits))  # FILTER_BITS at most
+    own = rows.select(F.monotonically_increasing_id().alias("row_id") if spans else F.lit(0).cast("bigint").alias("row_id"), "doc_id", "text")
+    possible = _possible(own, window, bits, words, spans)
+    if not spans:
+        return possible.select("doc_id", "digest").distinct().join(passages.select("digest", "item_id"), "digest").select("doc_id", "item_id")
+    hits = write_shared(possible, "possible").join(passages.select("digest", "item_id", "at"), "digest")
+    run = F.col("begin") - F.row_number().over(Window.partitionBy("row_id", "doc_id", "item_id").orderBy("begin"))
+    runs = hits.withColumn("_run", run).groupBy("row_id", "doc_id", "item_id", "_run")
+    return runs.agg(F.min_by("at", "begin").alias("item_token"), (F.count("*") - 1 + window).cast("int").alias("n_tokens"), F.min("doc_start").alias("doc_start"), F.max("doc_end").alias("doc_end")).drop("row_id", "_run")
+
+
+def _scan(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, window: int, spans: bool, automaton: int) -> DataFrame:
     rows = spread(docs.select(key.cast("bigint").alias("doc_id"), text.alias("text")).where("text IS NOT NULL AND text != ''"))
-    schema = "doc_id bigint, item_id bigint" + (", item_token int, n_tokens int, doc_start int, doc_end int" if spans else "")
-    out = None
-    for block in _blocks(items, item_id, item_text):
+    known = items.select(item_id.cast("bigint").alias("i"), item_text.alias("t")).where("t IS NOT NULL AND i IS NOT NULL").distinct()
+    size = known.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    if size > automaton:
+        return _joined(rows, known, size, window, spans)
+    held = sorted(tuple(r) for r in known.collect())  # at most ``automaton`` code points
 
-        def make(block=block):
-            scanner = _scanner(block, window)
+    def make():
+        scanner = _scanner(held, window)
 
-            def found(doc: int, text: str) -> Iterator[tuple]:
-                return ((doc, item) for item in scanner.found(text))
+        def found(doc: int, text: str) -> Iterator[tuple]:
+            return ((doc, item) for item in scanner.found(text))
 
-            def placed(doc: int, text: str) -> Iterator[tuple]:
-                return ((doc, *span) for span in scanner.spans(text))
+        def placed(doc: int, text: str) -> Iterator[tuple]:
+            return ((doc, *span) for span in scanner.spans(text))
 
-            return placed if spans else found
+        return placed if spans else found
 
-        part = map_rows(rows, schema, make)
-        out = part if out is None else out.unionAll(part)
-    return out
+    return map_rows(rows, "doc_id bigint, item_id bigint" + (", item_token int, n_tokens int, doc_start int, doc_end int" if spans else ""), make)
 
 
-def leaked(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, window: int = WINDOW) -> DataFrame:
+def leaked(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, window: int = WINDOW, automaton: int = AUTOMATON) -> DataFrame:
     """``doc_id`` and ``item_id`` of each document and evaluation item that share ``window`` consecutive tokens.
 
     A passage of several items counts for each. Null and empty texts, on either side, and items of fewer tokens leak nothing;
-    repeated rows give one row a pair; empty tables give none. Documents are scanned whole."""
-    return _scan(docs, key, text, items, item_id, item_text, window, False).distinct()
+    repeated rows give one row a pair; empty tables give none. Documents are scanned whole. Items may have any size: beyond
+    ``automaton`` code points their passages are joined instead of sent to the tasks."""
+    return _scan(docs, key, text, items, item_id, item_text, window, False, automaton).distinct()
 
 
-def leaked_spans(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, window: int = WINDOW) -> DataFrame:
+def leaked_spans(docs: DataFrame, key: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, window: int = WINDOW, automaton: int = AUTOMATON) -> DataFrame:
     """Each longest shared passage with its place: ``item_token`` (first token in the item, for the first of equal places),
     ``n_tokens``, and the code points ``doc_start`` to ``doc_end`` of the stored text. Repeated rows are reported each."""
-    return _scan(docs, key, text, items, item_id, item_text, window, True)
+    return _scan(docs, key, text, items, item_id, item_text, window, True, automaton)
 
 
 def _inputs(spark, folder: str) -> tuple:

@@ -52,3 +52,36 @@ def test_given_tables_against_brute_force(spark):
     d, i = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     got = sorted(tuple(r) for r in leaked(d, F.col("doc_id"), F.col("text"), i, F.col("item_id"), F.col("text")).collect())
     assert got == brute([(r.doc_id, r.text) for r in d.collect()], [(r.item_id, r.text) for r in i.collect()])
+
+
+def test_items_beyond_an_automaton(spark):
+    """The join of passages gives the rows of the automaton: many items, one passage in several, documents longer than a block of hashes."""
+    docs = [(1, None), (2, ""), (3, ITEM), (3, ITEM), (4, "a " * 70_000 + ITEM + HAN), (5, " ".join(WORDS[21:40])), (6, ITEM + " x " + ITEM + " " + ITEM), (None, ITEM)]
+    items = [(7, ITEM), (8, HAN), (9, None), (10, ""), (11, "short one"), (12, "lead " + ITEM), (13, " ".join(WORDS[:25]) + " gap " + " ".join(WORDS[20:45])), *[(100 + i, f"item {i} " + " ".join(f"t{i * j}" for j in range(40))) for i in range(50)]]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    args = (d, F.col("doc_id"), F.col("text"), i, F.col("item_id"), F.col("text"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(leaked(*args, automaton=0)) == rows(leaked(*args)) and leaked(*args).count() > 8
+    assert rows(leaked_spans(*args, automaton=0)) == rows(leaked_spans(*args))
+    assert leaked(d.limit(0), *args[1:], automaton=0).collect() == []
+
+
+def test_given_tables_both_ways(spark):
+    d, i = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    args = (d, F.col("doc_id"), F.col("text"), i, F.col("item_id"), F.col("text"))
+    for operator in (leaked, leaked_spans):
+        assert sorted(map(tuple, operator(*args, automaton=0).collect())) == sorted(map(tuple, operator(*args).collect()))
+
+
+def test_fifty_million_code_points_of_items(spark):
+    """Items far beyond an automaton, with known passages of documents among them."""
+    word = lambda c, n: F.substring(F.conv(F.xxhash64(c, n).cast("string"), 10, 36), 1, 7)
+    passage = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda n: word(F.col("id"), n)))
+    items = spark.range(0, 160_000, 1, 8).select("id", passage.alias("text"))
+    items = items.unionByName(spark.createDataFrame([(900_000, ITEM), (900_001, HAN)], "id long, text string"))
+    assert items.agg(F.sum(F.length("text"))).first()[0] > 50_000_000
+    chosen = [17, 90_000, 159_999]
+    leaks = items.where(F.col("id").isin(chosen)).select("id", F.concat(F.lit("before that "), F.substring_index("text", " ", 27), F.lit(" and after")).alias("text"))
+    docs = leaks.unionByName(spark.createDataFrame([(1, "x " + ITEM), (2, "no leak " * 50), (3, HAN[:19])], "id long, text string"))
+    found = leaked(docs, F.col("id"), F.col("text"), items, F.col("id"), F.col("text"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 900_000), *[(i, i) for i in chosen]]
