@@ -125,7 +125,8 @@ class Looks:
         self.forms = _forms(set(self.spellings) | set(self.east))
         strange = {c for c in self.spellings if not c.isascii()}
         strange |= {c for c in map(chr, range(0x80, 0x3000)) if unicodedata.normalize("NFD", c)[0] in strange}  # with accents
-        self.suspect = regex.compile(f"[{''.join(sorted(strange))}]") if strange else regex.compile(r"(?!)")
+        #: Letters that a token may have to be respelt for. Sets, as a pattern of so many letters is slower to search for.
+        self.suspect, self.formed = frozenset(strange), frozenset(map(chr, self.forms))
         self.eastern = regex.compile(f"[{''.join(sorted(self.east))}]+") if self.east else regex.compile(r"(?!)")
 
     def __reduce__(self):
@@ -191,7 +192,8 @@ def _beside_kana(m: regex.Match, looks: Looks) -> str:
 
 def _plain(text: str, looks: Looks) -> str:
     """A text without invisible characters and other widths, fonts, ligatures and radicals, composed."""
-    return unicodedata.normalize("NFC", _DROP.sub("", text).translate(looks.forms))
+    text = _DROP.sub("", text)
+    return unicodedata.normalize("NFC", text if looks.formed.isdisjoint(text) else text.translate(looks.forms))
 
 
 def one_form(text: str, looks: Looks | None = None) -> str:
@@ -199,8 +201,8 @@ def one_form(text: str, looks: Looks | None = None) -> str:
     if not text.isascii():
         looks = looks or known_looks()
         text = _plain(text, looks)
-        if looks.suspect.search(text):
-            text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: resolved(m.group(), looks)[0] if looks.suspect.search(m.group()) else m.group(), text))
+        if not looks.suspect.isdisjoint(text):
+            text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: m.group() if looks.suspect.isdisjoint(m.group()) else resolved(m.group(), looks)[0], text))
         if _KANA.search(text):
             text = looks.eastern.sub(lambda m: _beside_kana(m, looks), text)
     text = _LINES.sub("\n", text)
@@ -214,7 +216,7 @@ def suspects(text: str, looks: Looks | None = None) -> list[tuple[str, str, str]
     looks = looks or known_looks()
     out = []
     for m in _TOKEN.finditer(_plain(text, looks)):
-        if looks.suspect.search(m.group()):
+        if not looks.suspect.isdisjoint(m.group()):
             made, what = resolved(m.group(), looks)
             if what:
                 out.append((m.group(), what, unicodedata.normalize("NFC", made)))
