@@ -2,10 +2,12 @@
 
 Rules are pairs of regular expressions, one for what stands before a position and one for what follows; each says break or
 no break. They are kept in tables by language. For a text the tables of its language, of related ones and the common one are
-put in a row (the cascade); at each position after an end mark the first rule that matches both sides decides.
+put in a row (the cascade). Positions are after end marks and their closing marks, before empty lines and, in Thai, at blanks; at
+each the first rule that matches both sides decides, and nothing else does. A rule may also ask that what stands before the
+position is all that the sentence has so far.
 
 The rules see a copy of the text in which invisible characters are left out, look-alike letters and full-width letters are
-plain, and quotations are marked in one pass: end marks within a quotation are no end marks, and its closing mark tells
+plain, and quotations are marked in one pass: end marks within a quotation are other characters, and its closing mark tells
 whether a colon or comma introduced it. So no rule looks back further than a few words, however long the text is. Offsets are
 those of the stored text.
 """
@@ -26,17 +28,23 @@ BREAK, GO_ON = True, False
 #: Private characters of the marked copy: a quieted end mark; a closing quote of introduced and of other quotations.
 QUIET, SAID, QUOTED = "", "", ""
 _HIDDEN = r"\p{Cf}͏᠋-᠏︀-️"
-_ENDS = ".!?…。！？｡।॥‼⁇⁈⁉؟"
+#: End marks that are nothing else: of Chinese and Japanese, Devanagari, Arabic and Urdu, Ethiopic, Khmer, Armenian, Burmese, Tibetan.
+_SURE = "。！？｡।॥‼⁇⁈⁉؟۔።፧។៕։။།"
+_ENDS = ".!?…" + _SURE
+#: Before a rule's left side: the position's sentence has nothing else so far.
+ALL = "\ue003"
 _CLOSE = rf")\]）】〕〉’{SAID}{QUOTED}"
 
 # Abbreviations by what may follow them. Before a name or number: never the end of a sentence.
 LEADING = {
     "en": "Dr Mr Mrs Ms Prof St Mt Rev Hon Gen Col Capt Sgt Sen Rep Gov Fig Figs Sec Secs Ch Chs App Eq Eqs No Nos Vol Vols Ref Refs Art vol vols p pp ch sec fig figs no nos cf vs viz approx e.g i.e ed eds resp ca al",
     "de": "Dr Prof Hr Fr Frl St Nr Abb Kap S Bd Tab Abs Art Anm Aufl Hrsg vgl bzw ca z.B z. B d.h d. h u.a u. a i.d.R sog ggf evtl inkl exkl max min bspw mind Str Tel z d u",
+    "fr": "M MM Mme Mmes Mlle Mlles Dr Pr Mgr St Ste p pp fig figs vol chap art cf env éd coll p. ex c.-à-d réf tél bd av apr max min",
+    "ru": "ул д кв стр рис табл гл см ср проф акад им т. е т. к напр тыс млн млрд руб коп пл просп обл ред изд доц гр мин макс",
     "es": "Dr Dra Sr Sra Srta Sres Ud Uds D Dña Prof Profa Lic Ing pág págs p pp núm núms art arts cap caps fig figs vol vols ej p. ej ed aprox máx mín av Avda tel cf vs",
 }
 # Abbreviations that may also end a sentence: there, if a capital follows.
-TRAILING = {"en": "etc a.m p.m Corp Inc Ltd Co Jr Sr Bros Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec f ff seq Ave Blvd Rd dept est ext", "de": "usw etc f ff AG GmbH Co Jh Jhd ugs", "es": "etc a.m p.m Cía S.A a.C d.C EE.UU"}
+TRAILING = {"fr": "etc J.-C apr. J.-C av. J.-C", "ru": "т. д т. п др пр н. э", "en": "etc a.m p.m Corp Inc Ltd Co Jr Sr Bros Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec f ff seq Ave Blvd Rd dept est ext", "de": "usw etc f ff AG GmbH Co Jh Jhd ugs", "es": "etc a.m p.m Cía S.A a.C d.C EE.UU"}
 # Words that begin a sentence after an abbreviation of capitals (U.S., U.K.).
 STARTERS = "The A An In On At By It Its This That These Those He She We They I You There Here When While Why What Which Who How If For From To But And Or So Most Many Only No Nobody Does Do Did Is Are Was Were After Before Both Each Every Some As With"
 # Words before, and month names after, the number of an ordinal in German.
@@ -58,9 +66,17 @@ _NEXT_UP = r"\s*[\"“„«‘'(\[（¿¡]*\p{Lu}"
 _EAST = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
 _LATE = rf"[{_CLOSE}]*"
 
+# Words that close a sentence in Thai, and words that open one.
+THAI_LAST, THAI_FIRST = "ครับ ค่ะ คะ นะ แล้ว เลย ด้วย ไหม หรือไม่ เท่านั้น", "แต่ ดังนั้น อย่างไรก็ตาม นอกจากนี้ เพราะฉะนั้น ผม ฉัน เขา เรา มัน วันนี้ เมื่อ"
+#: A number or letter that opens an item.
+_ITEM = r"\s*[(（\[]?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)）\]]{1,2}"
+
 #: Tables by name: (break or not, what stands before the position, what follows it).
 RULES: dict[str, list[tuple[bool, str, str]]] = {
     "first": [
+        (BREAK, r"", r"\n[^\S\n]*\n"),
+        (GO_ON, rf"{QUIET}{_LATE}", r""),
+        (GO_ON, ALL + _ITEM, r""),
         (GO_ON, rf"[{_ENDS}]{_LATE}", rf"\s?[,，、;；:：{_CLOSE}]"),
         (GO_ON, r"\.", r"[\p{Ll}\p{Nd}_/@-]"),
     ],
@@ -89,6 +105,23 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
         (GO_ON, r"(?<!\d[.,])(?<!\d)\d{1,2}\.", rf"\s+(?:{_words(MONTHS)})\b"),
         (BREAK, rf"(?<![\p{{L}}.])(?:{_abbreviations(TRAILING['de'])})\.{_LATE}", _NEXT_UP),
     ],
+    "fr": [
+        (BREAK, rf"(?<![\p{{L}}.])(?:{_abbreviations(TRAILING['fr'])})\.{_LATE}", _NEXT_UP),
+        (GO_ON, rf"(?<![\p{{L}}.])(?:{_abbreviations(LEADING['fr'])})\.", r"\s"),
+        (GO_ON, rf"[{_ENDS}]{_LATE}{QUOTED}", r"\s*\p{Ll}"),
+    ],
+    "ru": [
+        (BREAK, r"\d\s?гг?\.", _NEXT_UP),
+        (GO_ON, r"(?<![\p{L}.])гг?\.", r"\s"),
+        (BREAK, rf"(?<![\p{{L}}.])(?:{_abbreviations(TRAILING['ru'])})\.{_LATE}", _NEXT_UP),
+        (GO_ON, rf"(?<![\p{{L}}.])(?:{_abbreviations(LEADING['ru'])})\.", r"\s"),
+        (GO_ON, r"(?<!\p{L})\p{Lu}\.", r"\s*\p{Lu}"),
+    ],
+    "th": [
+        (BREAK, rf"(?:{_words(THAI_LAST)})ๆ?", r" +\p{Thai}"),
+        (BREAK, r"\p{Thai}", rf" +(?:{_words(THAI_FIRST)})"),
+        (GO_ON, r"[\p{Thai}ๆฯ]", r" "),
+    ],
     "es": [
         (GO_ON, rf"(?<![\p{{L}}.])(?:{_abbreviations(LEADING['es'])})\.", r"\s"),
         (BREAK, rf"(?<![\p{{L}}.])(?:{_abbreviations(TRAILING['es'])})\.{_LATE}", _NEXT_UP),
@@ -102,7 +135,7 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
         (GO_ON, r"(?<!\p{L})\p{Lu}\.", r"\s+\p{Lu}"),
     ],
     "common": [
-        (BREAK, rf"[。！？｡।॥‼⁇⁈⁉؟]{_LATE}", r"\s*\S"),
+        (BREAK, rf"[{_SURE}]{_LATE}", r"\s*\S"),
         (GO_ON, rf"[.!?…]{_LATE}", r"\s*[\p{Ll}]"),
         (GO_ON, r"[\p{L}\p{Nd}]\.", r"\p{Lu}(?![\p{Ll}\s])"),
         (BREAK, rf"[.!?…]{_LATE}", r"\s+\S"),
@@ -110,31 +143,38 @@ RULES: dict[str, list[tuple[bool, str, str]]] = {
         (BREAK, rf"[!?…]{_LATE}", r"\S"),
     ],
 }
-CASCADES = {lang: ("first", lang, *(t for t in ("en", "de", "es") if t != lang), "common") for lang in ("zh", "ja", "hi", "de", "es", "en")}
+CASCADES = {lang: ("first", lang, *(t for t in ("en", "de", "es") if t != lang), "common") for lang in ("zh", "ja", "hi", "th", "ru", "fr", "de", "es", "en")}
 
 
+# Letters that look like Latin ones, in the order of the Latin line below.
+_LOOK = str.maketrans("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕЅІЈКМНОРСТХаеорсухѕіјһԁԝνοϳɡ", "ABEZHIKMNOPTYXABESIJKMHOPCTXaeopcyxsijhdwvojg") | {c: c - 0xFEE0 for c in (0xFF0E, *range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
+_SPACE = {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9)} | {c: "\n" for c in (0xB, 0xC, 0x85, 0x2028, 0x2029)}
+_PLAIN = _LOOK | _SPACE
+
 
-def _compiled(tables: tuple[str, ...], point: bool) -> list[tuple[bool, regex.Pattern]]:
-    """The rules of the tables; without those that need a point where the end mark has none."""
-    rows = [rule for table in tables for rule in RULES[table]]
-    return [(verdict, regex.compile(f"(?<={before})(?={after})")) for verdict, before, after in rows if point or r"\." not in before.replace(_LATE, "")[-3:]]
+def _compiled(tables: tuple[str, ...], point: bool) -> list[tuple[bool, regex.Pattern, regex.Pattern | None]]:
+    """The rules of the tables as (verdict, pattern at the position, pattern of all of the sentence before it); without those that need a point
+    where the end mark has none."""
+    out = []
+    for verdict, before, after in (rule for table in tables for rule in RULES[table]):
+        if before.startswith(ALL):
+            out.append((verdict, regex.compile(f"(?={after})"), regex.compile(before[1:] + r"\s*")))
+        elif point or r"\." not in before.replace(_LATE, "")[-3:]:
+            # letters in the copy have their plain look, so those of the rules must too
+            out.append((verdict, regex.compile(f"(?<={before})(?={after})".translate(_LOOK) if tables[1] == "ru" else f"(?<={before})(?={after})"), None))
+    return out
 
 
 #: For each language the rules after end marks with a point in them, and after others.
 _COMPILED = {lang: (_compiled(tables, True), _compiled(tables, False)) for lang, tables in CASCADES.items()}
-#: A number or letter that opens an item, as all that a sentence has so far.
-_ITEM = regex.compile(r"[(（\[]?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)）\]]{1,2}")
-_SPOT = regex.compile(rf"[{_ENDS}]+{_LATE}")
-_GAP = regex.compile(r"\n[^\S\n]*\n\s*")
+#: Where rules are asked: after end marks, be they in a quotation or not, before empty lines, in Thai at blanks between letters.
+_PLACES = rf"[{_ENDS}{QUIET}]+{_LATE}|(?=\n[^\S\n]*\n)"
+_SPOT, _SPOT_THAI = regex.compile(_PLACES), regex.compile(_PLACES + r"|(?<=\p{Thai})(?= +\p{Thai})")
 _QUOTE = regex.compile(rf"[\"“”„«»「」『』《》]|\n[^\S\n]*\n|[{_ENDS}]+")
 _PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》"}
-_SCRIPT = {"hi": regex.compile(r"\p{Devanagari}"), "ja": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "zh": regex.compile(r"\p{Han}")}
-_WEST = {"de": regex.compile(r"\b(?:der|die|das|und|wird|ist|mit|von|für|nicht|eine?|auf|im|nach)\b", regex.I), "es": regex.compile(r"\b(?:el|la|los|las|una?|de|del|que|se|en|por|con|hay)\b", regex.I), "en": regex.compile(r"\b(?:the|and|of|is|to|in|that|with|for|was|are|this|by|has)\b", regex.I)}
+_SCRIPT = {"ru": regex.compile(r"[бгдёжзийлпфцчшщъыьэюя]", regex.I), "th": regex.compile(r"\p{Thai}"), "hi": regex.compile(r"\p{Devanagari}"), "ja": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "zh": regex.compile(r"\p{Han}")}
+_WEST = {"de": regex.compile(r"\b(?:der|die|das|und|wird|ist|mit|von|für|nicht|eine?|auf|im|nach)\b", regex.I), "fr": regex.compile(r"\b(?:le|les|des|du|au|aux|est|une|dans|pour|avec|qui|sur|pas|et|cette)\b", regex.I), "es": regex.compile(r"\b(?:el|la|los|las|una?|de|del|que|se|en|por|con|hay)\b", regex.I), "en": regex.compile(r"\b(?:the|and|of|is|to|in|that|with|for|was|are|this|by|has)\b", regex.I)}
 
-# Letters that look like Latin ones, in the order of the Latin line below.
-_LOOK = str.maketrans("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕЅІЈКМНОРСТХаеорсухѕіјһԁԝνοϳɡ", "ABEZHIKMNOPTYXABESIJKMHOPCTXaeopcyxsijhdwvojg") | {c: c - 0xFEE0 for c in (0xFF0E, *range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))}
-_SPACE = {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 9)} | {c: "\n" for c in (0xB, 0xC, 0x85, 0x2028, 0x2029)}
-_PLAIN = _LOOK | _SPACE
 #: What makes a text differ from its copy.
 _ODD = regex.compile(rf"[{_HIDDEN}{regex.escape(''.join(map(chr, _PLAIN)))}]")
 _SHOWN = regex.compile(rf"[^{_HIDDEN}]+")
@@ -191,10 +231,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 plain = "".join(plain[a:b] for a, b in shown)
         lang = language(plain)
     else:
-        lang = "en" if not _WEST["de"].search(text) and not _WEST["es"].search(text) else max(_WEST, key=lambda w: (len(_WEST[w].findall(text)), w == "en"))
+        lang = "en" if not any(_WEST[w].search(text) for w in ("de", "es", "fr")) else max(_WEST, key=lambda w: (len(_WEST[w].findall(text)), w == "en"))
     marked = _marked(plain)
     pointed, others = _COMPILED[lang]
-    hard = [m.span() for m in _GAP.finditer(marked)]
     out: list[tuple[int, int]] = []
     size = len(marked)
 
@@ -205,26 +244,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
         if a < b:
             out.append((a, b))
 
-    start, gap = 0, 0
-    for m in _SPOT.finditer(marked):
-        while gap < len(hard) and hard[gap][0] < m.end():
-            close(start, hard[gap][0])
-            start = hard[gap][1]
-            gap += 1
+    start = 0
+    for m in (_SPOT_THAI if lang == "th" else _SPOT).finditer(marked):
         at = m.end()
         if at >= size:
             break
-        if at - start <= 12 and _ITEM.fullmatch(marked[start:at].strip()):
-            continue
-        for verdict, rule in pointed if "." in m.group() else others:
-            if rule.match(marked, at):
+        for verdict, rule, whole in pointed if "." in m.group() else others:
+            if (whole is None or (at - start <= 12 and whole.fullmatch(marked, start, at))) and rule.match(marked, at):
                 if verdict:
                     close(start, at)
                     start = at
                 break
-    for a, b in hard[gap:]:
-        close(start, a)
-        start = b
     close(start, size)
     if index is not None:
         out = [(index[a], index[b - 1] + 1) for a, b in out]

@@ -13,6 +13,14 @@ CASES = [
     "Algunas notas, p. ej. la cola, valen 31.98 puntos.|¡La tabla se borra!|«¿Por qué falta?» es la pregunta.|El cuaderno dice: «Primero dibuja.»|El Dr. Veldok y la Sra. Garmira explican la pág. 67 del vol. 22.",
     "“不要死记模型！”这句话在第 48 讲里反复出现。|他把“秩。引理。定理。”三个词写在同一行。|讲义写道：“先画出事件，再列出语篇。”|如 e.g. 一栏所示，取值是 35.51.|柯多公式成立！！|题干是《真的够用吗？》，答案写在 oso-38.mdx 里。|留到第 51 讲再谈……|按 a.m. 与 p.m. 统计。",
     "先生は「描け！」と言って黒板に戻った。|「零にならない。」と書かれている。|tesk-37.jsonを開くと、v4.7.8が確認できる。|なぜ先に読むのか？",
+    "Он живёт в г. Москве на ул. Ленина, д. 5, т. е. в центре.|Это было в 1999 г.|Потом он уехал.|См. рис. 3 и табл. 4.|А. С. Пушкин родился в Москве!|Купил хлеб, молоко и т. д.|Вечером вернулся.",
+    "Cf. p. 12, c.-à-d. la fin.|La ville fut prise en 52 av. J.-C. Rome l'a gardée.|M. Dupont est dans la file.|« Pourquoi pas ? » est la question.",
+    "یہ پہلا جملہ ہے۔|یہ دوسرا جملہ ہے۔|کیا یہ سوال ہے؟|ختم۔",
+    "ይህ የመጀመሪያ ነው።|ይህ ሁለተኛ ነው።",
+    "នេះជាប្រយោគទីមួយ។|នេះជាប្រយោគទីពីរ។",
+    "Սա առաջին նախադասությունն է։|Սա երկրորդն է։",
+    "ဒါက ပထမ ဝါကျ ဖြစ်တယ်။|ဒါက ဒုတိယ ဖြစ်တယ်။",
+    "วันนี้อากาศดีมากครับ|ผมไปตลาด ซื้อปลาและผัก|แต่ไม่ได้ซื้อข้าว",
     "डॉ. Ostdok ने कहा, \"पहले अभ्यास बनाओ।\"|सीमा का मान 9.9 है।|क्यों पढ़ना चाहिए?|यह अंत है।",
 ]
 
@@ -20,7 +28,7 @@ CASES = [
 @pytest.mark.parametrize("case", CASES)
 def test_cases(case):
     wanted = case.split("|")
-    glue = "" if any(c > "⺀" and c < "ꀀ" for c in case) else " "
+    glue = "" if any(c > "⺀" and c < "ꀀ" for c in case) or "។" in case else " "
     text = glue.join(wanted)
     assert [text[a:b] for a, b in sentences(text)] == wanted
 
@@ -49,3 +57,8 @@ def test_tables(spark):
     assert sentence_rows(df.limit(0)).collect() == []
     found = p5_found(spark, "/root/testdata/sf0.001")
     assert found.columns == ["kind", "item_id", "sense_no", "example_no", "sent_start", "sent_end"] and {r.kind for r in found.collect()} == {"content", "example"}
+
+
+def test_list_numbers_and_empty_lines():
+    text = "1. One begins. 2. Two\nb) goes on.\n\n(iv) Three\n \nend"
+    assert [text[a:b] for a, b in sentences(text)] == ["1. One begins.", "2. Two\nb) goes on.", "(iv) Three", "end"]
