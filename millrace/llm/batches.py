@@ -13,9 +13,14 @@ PARTITIONS_PER_CORE = 3
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in enough partitions to keep all cores busy. A table read in many splits already (any large one) isn't moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(PARTITIONS_PER_CORE * cores)
+    """``df`` in enough partitions to keep all cores busy. What is read from tables of more splits than that (any large one) isn't moved. Only the
+    sizes that the plan's leaves state are looked at: nothing is run, and no row depends on it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= 2 * cores * split else df.repartition(PARTITIONS_PER_CORE * cores)
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterator[tuple]]]) -> DataFrame:

@@ -150,6 +150,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary, read once in a Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def encode_texts(df: DataFrame, key: Column, text: Column, path: str | None = None) -> DataFrame:
     """``key`` (as it is) and ``ids`` ARRAY<INT> of each row's text, by the vocabulary at ``path``. Empty and null texts have an
     empty list; repeated rows come out as often as they come in; an empty table gives no rows. Texts are encoded whole."""
@@ -158,7 +168,7 @@ def encode_texts(df: DataFrame, key: Column, text: Column, path: str | None = No
     name, kind = rows.columns[0], rows.dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 now = batch.slice(start, 1024)
@@ -181,5 +191,17 @@ def p6_ids(spark, folder: str) -> DataFrame:
     return encode_texts(documents, F.col("doc_id"), F.col("text"))
 
 
-QUERIES = {"p6_ids": p6_ids}
-SQL: dict[str, str] = {}
+def p6_decoded(spark, folder: str) -> DataFrame:
+    """The digest of the text that the ids of each document lead back to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {rank: token for token, rank in encoder_of(f"{TOKENIZERS}/byte_bpe_50k.tiktoken").ranks.items()}
+        for batch in batches:
+            texts = [b"".join(map(tokens.__getitem__, ids)).decode() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return p6_ids(spark, folder).mapInArrow(run, "doc_id bigint, text string").select("doc_id", F.md5("text").alias("digest"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded}
+SQL = {"p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"}

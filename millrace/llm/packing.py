@@ -4,7 +4,8 @@ Items are spread over partitions of bounded size, and each partition packs its o
 functions give a lower bound of the containers a partition can do with. A partition that meets its bound is certified and keeps
 all containers but its emptiest one; one with a gap gives the items of its emptiest containers away, several for each
 container of the gap. What partitions give away is exchanged over fewer partitions and packed again, until one partition holds
-the rest or the rounds are over. The bound of all items, from the counts of their lengths, certifies the whole.
+the rest, or a round gives away hardly less than the one before: then its partitions keep all they have. The bound of all
+items, from the counts of their lengths, certifies the whole.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from millrace.sources.shared import write_shared
 
-#: Code points of a container; items of one partition; rounds of exchange; containers given away for each of the gap.
-CAPACITY, ITEMS, ROUNDS, GIVEN = 6_000, 50_000, 8, 4
+#: Code points of a container; items of one partition; the part of the items that a round may give away for another to follow; containers
+#: given away for each of the gap.
+CAPACITY, ITEMS, SHRINK, GIVEN = 6_000, 50_000, 0.75, 4
 #: Partitions of items that one task packs at most, where there are more than shuffle partitions (40 bytes an item in memory).
 GROUPS = 20
 #: Copies of one row that are numbered at a time.
@@ -120,11 +122,12 @@ def pack(df: DataFrame, key: Column, length: Column, capacity: int = CAPACITY, i
     todo = write_shared(parts.select("item_id", "copy", F.col("no").cast("int").alias("part_no"), F.least(F.lit(capacity), F.expr(f"n - no * {capacity}")).cast("int").alias("size")), "items")
     done = todo.where("size = 0").select("item_id", "part_no", "size", F.lit(None).cast("bigint").alias("container_id"))
     todo = todo.where("size > 0")
-    for number in range(1, ROUNDS + 1):
-        groups = -(-todo.count() // items)
-        if not groups:
-            break
-        last = groups == 1 or number == ROUNDS
+    number, before = 0, None
+    while left := todo.count():
+        number += 1
+        groups = -(-left // items)
+        last = groups == 1 or (before is not None and left > SHRINK * before)
+        before = left
         owned = todo.withColumn("owner", F.pmod(F.xxhash64("item_id", "copy", "part_no", F.lit(number)), F.lit(groups)))
         tasks = min(groups, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS)))
         packed = owned.repartition(tasks, "owner").mapInArrow(_round(number, last, capacity), _SCHEMA)
@@ -161,5 +164,16 @@ def p4_certificate(spark, folder: str) -> DataFrame:
     return certificate(pack(_blocks(spark, folder), F.col("content_id"), F.col("n")))
 
 
-QUERIES = {"p4_containers": p4_containers, "p4_certificate": p4_certificate}
-SQL: dict[str, str] = {}
+def p4_packed(spark, folder: str) -> DataFrame:
+    """Of each block of the pages the ``parts``, their ``size`` in all, and whether each is in a container that isn't over full."""
+    packed = p4_containers(spark, folder)
+    full = packed.where("container_id IS NOT NULL").groupBy("container_id").agg((F.sum("size") <= CAPACITY).alias("fits"))
+    own = packed.join(full, "container_id", "left").groupBy("content_id")
+    return own.agg(F.count("*").alias("parts"), F.sum("size").cast("bigint").alias("size"), F.bool_and(F.coalesce("fits", F.col("size") == 0)).alias("kept"))
+
+
+QUERIES = {"p4_containers": p4_containers, "p4_certificate": p4_certificate, "p4_packed": p4_packed}
+SQL = {
+    "p4_packed": f"""WITH b AS (SELECT c.content_id AS content_id, coalesce(length(c.content), 0) AS n FROM (SELECT unnest(structured_data.contents) AS c FROM doc_pages))
+SELECT content_id, greatest(1, (n + {CAPACITY - 1}) // {CAPACITY})::BIGINT AS parts, n::BIGINT AS size, true AS kept FROM b"""
+}

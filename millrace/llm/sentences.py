@@ -275,15 +275,35 @@ def sentence_rows(df: DataFrame) -> DataFrame:
     return map_rows(spread(df.select("kind", "item_id", "sense_no", "example_no", "text").where("text IS NOT NULL")), schema, make)
 
 
-def p5_found(spark, folder: str) -> DataFrame:
-    """The sentences of all blocks and examples."""
+def _texts(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     pages, cards = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("doc_pages", "word_cards"))
     blocks = pages.select(F.explode("structured_data.contents").alias("b")).select(F.lit("content").alias("kind"), F.col("b.content_id").alias("item_id"), F.lit(0).alias("sense_no"), F.lit(0).alias("example_no"), F.col("b.content").alias("text"))
     senses = cards.select(F.col("card_id"), F.posexplode("senses").alias("sense_no", "s"))
     examples = senses.select("card_id", "sense_no", F.posexplode("s.examples").alias("example_no", "e"))
     examples = examples.select(F.lit("example").alias("kind"), F.col("card_id").alias("item_id"), "sense_no", "example_no", F.col("e.text").alias("text"))
+    return blocks, examples
+
+
+def p5_found(spark, folder: str) -> DataFrame:
+    """The sentences of all blocks and examples."""
+    blocks, examples = _texts(spark, folder)
     return sentence_rows(blocks).unionAll(sentence_rows(examples))
 
 
-QUERIES = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
+def p5_shown(spark, folder: str) -> DataFrame:
+    """How many code points that show the sentences of each block and example have: all that the text has."""
+    blocks, examples = _texts(spark, folder)
+    key = ["kind", "item_id", "sense_no", "example_no"]
+    rows = p5_found(spark, folder).join(blocks.unionAll(examples), key)
+    own = F.expr("substring(text, sent_start + 1, sent_end - sent_start)")
+    return rows.groupBy(*key).agg(F.sum(F.length(F.regexp_replace(own, _BLANK, ""))).cast("bigint").alias("shown"))
+
+
+_BLANK = r"[\p{Z}\p{C}]"
+QUERIES = {"p5_found": p5_found, "p5_shown": p5_shown}
+SQL = {
+    "p5_shown": f"""WITH t AS (SELECT 'content' AS kind, c.content_id AS item_id, 0 AS sense_no, 0 AS example_no, c.content AS text FROM (SELECT unnest(structured_data.contents) AS c FROM doc_pages)
+UNION ALL SELECT 'example', card_id, sense_no, generate_subscripts(examples, 1)::INT - 1, unnest(examples).text FROM (SELECT card_id, generate_subscripts(senses, 1)::INT - 1 AS sense_no, unnest(senses).examples AS examples FROM word_cards)),
+n AS (SELECT kind, item_id, sense_no, example_no, length(regexp_replace(text, '{_BLANK}', '', 'g'))::BIGINT AS shown FROM t)
+SELECT * FROM n WHERE shown > 0"""
+}

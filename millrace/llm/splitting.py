@@ -173,8 +173,20 @@ def p2_pieces(spark, folder: str) -> DataFrame:
     return split_sections(spark.read.parquet(f"{folder}/doc_pages.parquet"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p2_rejoined(spark, folder: str) -> DataFrame:
+    """Each section put together again from its pieces, without what they repeat, as a digest; and whether all pieces keep the limits."""
+    pieces = p2_pieces(spark, folder)
+    piece = F.struct("piece_no", F.expr("substring(text, overlap + 1)").alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["own"]), "")  # a section, which was a row before
+    kept = F.bool_and((F.length("text") <= LIMIT) & (F.col("overlap") <= OVERLAP) & (F.col("end") - F.col("start") == F.length("text")))
+    return pieces.groupBy("page_id", "heading").agg(F.md5(whole).alias("digest"), kept.alias("kept"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rejoined": p2_rejoined}
 SQL = {
+    "p2_rejoined": """WITH blocks AS (SELECT page_id, unnest(structured_data.contents) AS c, generate_subscripts(structured_data.contents, 1) AS i FROM doc_pages)
+SELECT page_id, coalesce(c.heading, '') AS heading, md5(string_agg(c.content, chr(10) || chr(10) ORDER BY i)) AS digest, true AS kept FROM blocks WHERE c.content <> ''
+GROUP BY page_id, coalesce(c.heading, '') HAVING sum(length(c.content)) + 2 * (count(*) - 1) > 6000""",
     "p2_found": """WITH blocks AS (SELECT page_id, unnest(structured_data.contents) AS c FROM doc_pages)
 SELECT page_id, coalesce(c.heading, '') AS heading FROM blocks WHERE c.content IS NOT NULL AND c.content <> ''
 GROUP BY page_id, coalesce(c.heading, '') HAVING sum(length(c.content)) + 2 * (count(*) - 1) > 6000"""
