@@ -35,18 +35,27 @@ def fixed_pieces(text: Column, size: int = CHUNK) -> Column:
     return F.when(n > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
+def part_starts(sizes: Column, most: int, joint: int) -> Column:
+    """Where parts begin (from 0) if items of these sizes are taken in order and a part ends before an item that would make it more than
+    ``most``, with ``joint`` between items. The fold carries two numbers and the starts as text, never the items, so it copies next to nothing."""
+    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("at"), F.lit("").alias("starts"))
+
+    def step(s: Column, size: Column) -> Column:
+        new = (s["at"] == 0) | (s["held"] + size + joint > most)
+        starts = F.when(new, F.concat(s["starts"], s["at"].cast("string"), F.lit(","))).otherwise(s["starts"])
+        return F.struct(F.when(new, size).otherwise(s["held"] + size + joint).cast("bigint").alias("held"), (s["at"] + 1).alias("at"), starts.alias("starts"))
+
+    listed = F.aggregate(sizes, start, step, lambda s: F.split(s["starts"], ","))
+    return F.transform(F.filter(listed, lambda t: t != ""), lambda t: t.cast("int"))
+
+
 def greedy_chunks(paragraphs: Column, size: int = CHUNK) -> Column:
     """Paragraphs joined by empty lines into chunks of at most ``size`` code points, in order, each as full as it gets."""
     pieces = F.flatten(F.transform(paragraphs, lambda p: fixed_pieces(p, size)))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, piece: Column) -> Column:
-        fits = F.length(s["open"]) + F.length(piece) + 2 <= size
-        started = s["open"] != ""
-        done = F.when(started & ~fits, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(started & fits, F.concat(s["open"], F.lit("\n\n"), piece)).otherwise(piece).alias("open"))
-
-    return F.aggregate(pieces, empty, step, lambda s: F.when(s["open"] != "", F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+    # the pieces and their starts are bound by a lambda each, so that they are made once and not for each chunk
+    chunks = lambda p, s: F.transform(s, lambda at, i: F.array_join(F.slice(p, at + 1, F.coalesce(F.try_element_at(s, i + 2), F.size(p)) - at), "\n\n"))
+    bound = F.transform(F.array(pieces), lambda p: F.element_at(F.transform(F.array(part_starts(F.transform(p, lambda x: F.length(x)), size, 2)), lambda s: chunks(p, s)), 1))
+    return F.element_at(bound, 1)
 
 
 def _contents(column: str, fields: tuple[str, ...]) -> Column:
@@ -78,9 +87,8 @@ def sections(pages: DataFrame, clean: bool = True) -> DataFrame:
 def body_records(pages: DataFrame, clean: bool = True) -> DataFrame:
     """The chunks of every section as records: one at least for each section, with empty content where it has none; the
     description only on the first chunk of the root section; all chunks of a section share its URL."""
-    rows = sections(pages, clean)
-    chunks = greedy_chunks(F.col("paragraphs"))
-    chunks = F.when(F.size(chunks) == 0, F.array(F.lit(""))).otherwise(chunks)
+    rows = sections(pages, clean).withColumn("_chunks", greedy_chunks(F.col("paragraphs"))).drop("paragraphs")
+    chunks = F.when(F.size("_chunks") == 0, F.array(F.lit(""))).otherwise(F.col("_chunks"))
     root = F.col("heading") == ""
     return rows.select("*", F.posexplode(chunks).alias("chunk_no", "content")).select(
         "page_id", "category", "page_group", "section_no", "chunk_no", "content",
@@ -96,8 +104,3 @@ def record_text() -> Column:
     """All text of a record that is searched: its fields and breadcrumbs that aren't empty, joined by blanks."""
     fields = [F.nullif(F.col(c), F.lit("")) for c in ("title", "description", "content", "keywords")]
     return F.concat_ws(" ", *fields, F.concat_ws(" ", F.filter("breadcrumbs", lambda b: b != "")))
-
-
-def plain_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id`` and the text without markup, for corpora that aren't pages."""
-    return documents.select("doc_id", strip_markup(F.col("text")).alias("clean"))

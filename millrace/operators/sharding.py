@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import fnv32, fnv_quarters
+from millrace.operators.records import part_starts
 from millrace.operators.relational import numbered
 from millrace.sources.shared import write_shared
 
@@ -75,14 +76,9 @@ def record_parts(records: DataFrame, page: str, order: list[str], chars: str, ta
     """Records of large pages in parts of at most ``target``, filled in order: adds ``part`` from 0. The sizes of a page's records come
     into one row (12 bytes each), not the records."""
     rows = records.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(chars).cast("bigint").alias("_n")))).alias("_rows"))
-    start = F.struct(F.array().cast("array<int>").alias("parts"), F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("part"))
-
-    def step(s: Column, r: Column) -> Column:
-        over = (s["held"] > 0) & (s["held"] + r["_n"] > target)
-        part = F.when(over, s["part"] + 1).otherwise(s["part"])
-        return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), F.when(over, r["_n"]).otherwise(s["held"] + r["_n"]).alias("held"), part.alias("part"))
-
-    numbered = rows.withColumn("_parts", F.aggregate("_rows", start, step, lambda s: s["parts"])).select(page, F.explode(F.arrays_zip("_rows", "_parts")).alias("z"))
+    starts = part_starts(F.transform("_rows", lambda r: r["_n"]), target, 0)
+    parts = F.transform("_rows", lambda r, i: F.size(F.filter("_starts", lambda s: s <= i)) - 1)  # as many parts as the page is large
+    numbered = rows.withColumn("_starts", starts).withColumn("_parts", parts).select(page, F.explode(F.arrays_zip("_rows", "_parts")).alias("z"))
     return records.join(numbered.select(page, *[F.col(f"z._rows.{c}").alias(c) for c in order], F.col("z._parts").alias("part")), [page, *order])
 
 

@@ -172,8 +172,7 @@ def fixed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def greedy_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    own = table(spark, folder, "documents").select("doc_id", F.posexplode(records.greedy_chunks(F.split("text", r"\n\s*\n"), 1000)).alias("chunk_no", "content"))
-    return own
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(records.greedy_chunks(F.split("text", r"\n\s*\n"), 1000)).alias("chunk_no", "content"))
 
 
 def page_paths(spark: SparkSession, folder: str) -> DataFrame:
