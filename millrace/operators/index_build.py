@@ -13,9 +13,9 @@ from millrace.functions.hashing import digest12
 from millrace.functions.paths import file_segment
 from millrace.functions.text import routing_tokens
 from millrace.operators import bloom_index as bloom
-from millrace.operators.records import body_records, core_records, record_text
+from millrace.operators.records import body_records, clean_pages, core_records, record_text
 from millrace.operators.relational import latest
-from millrace.operators.sharding import BODY_CHARS, CORE_CHARS, guarded, record_parts, stable_shards
+from millrace.operators.sharding import BODY_CHARS, CORE_CHARS, SOFT, guarded, record_parts, split_oversized, stable_shards
 from millrace.sources.shared import write_shared
 
 _FIELDS = ("title", "description", "breadcrumbs", "content", "keywords", "url")
@@ -26,9 +26,10 @@ def current_pages(pages: DataFrame) -> DataFrame:
     return latest(pages, ["url"], [F.col("updated"), F.col("page_id")])
 
 
-def sharded_records(pages: DataFrame) -> DataFrame:
-    """All records of the pages with their ``shard``: kind, category, page_group, record_id, the record's fields, chars and shard."""
-    now = write_shared(current_pages(pages), "pages")
+def sharded_records(pages: DataFrame, soft: int = SOFT) -> DataFrame:
+    """All records of the pages with their ``shard``: kind, category, page_group, record_id, the record's fields, chars and shard. Shards are planned
+    by code points; one that is written in more than ``soft`` bytes is parted again."""
+    now = write_shared(clean_pages(current_pages(pages)), "pages")
     core = core_records(now).withColumns({"kind": F.lit("core"), "owner": F.col("category"), "key": F.col("url"), "section_no": F.lit(0), "chunk_no": F.lit(0)})
     body = body_records(now).withColumns({"kind": F.lit("body"), "owner": F.col("page_group"), "key": F.split_part("url", F.lit("#"), F.lit(1))})
     columns = ["kind", "owner", "key", "page_id", "category", "page_group", "section_no", "chunk_no", *_FIELDS]
@@ -42,7 +43,11 @@ def sharded_records(pages: DataFrame) -> DataFrame:
         own = stable_shards(units, target).select(F.lit(kind).alias("kind"), "owner", "key", "shard_key")
         placed = own if placed is None else placed.unionByName(own)
     shard = F.concat_ws("-", "kind", file_segment(F.col("owner")), file_segment(F.col("shard_key")))
-    return records.join(placed, ["kind", "owner", "key"]).withColumn("shard", shard).withColumn("record_id", F.concat_ws(":", "kind", "page_id", "section_no", "chunk_no"))
+    out = records.join(placed, ["kind", "owner", "key"]).withColumn("shard", shard).withColumn("record_id", F.concat_ws(":", "kind", "page_id", "section_no", "chunk_no"))
+    out = write_shared(out.withColumn("_bytes", F.octet_length(F.to_json(F.struct(*_FIELDS))) + 1), "placed")
+    zero = F.lit("\u0000")
+    identity = F.concat("url", zero, "title", zero, F.substring("content", 1, 96))
+    return split_oversized(out, "shard", "_bytes", identity, ["page_id", "section_no", "chunk_no"], soft).drop("_bytes")
 
 
 def gzip_sizes(rows: DataFrame, text: str) -> DataFrame:

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import cut, nfkc_array, strip_markup
+from millrace.functions.paths import path_title
+from millrace.functions.text import blank_to_null, cut, nfkc_array, search_text, strip_markup
 
 #: Code points of a chunk, of the heading summary of a core record, of a description.
 CHUNK, SUMMARY, DESCRIPTION = 6_000, 600, 300
@@ -19,6 +20,27 @@ def breadcrumbs(category: Column) -> Column:
     return F.when(category == "root", F.array().cast("array<string>")).otherwise(F.array(category))
 
 
+def _searchable(texts: Column) -> Column:
+    """Texts of an array as search text, with escaped angle brackets as they are meant."""
+    return F.transform(nfkc_array(F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\\<"), F.lit("<")))), strip_markup)
+
+
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """Pages as an index takes them: ``title`` as search text, the file's name where nothing is left; ``description`` as search text of at most
+    DESCRIPTION code points, null where nothing is left; headings and blocks as search text, those with none left out.
+
+    Cleaning isn't idempotent: sections clean blocks again, and chunks their paragraphs once more, as the index does."""
+    data = F.col("structured_data")
+    rows = pages.withColumn("_heads", _searchable(F.transform(data["headings"], lambda h: h["content"]))).withColumn("_texts", _searchable(F.transform(data["contents"], lambda c: c["content"])))
+    with_text = lambda items, texts: F.filter(F.zip_with(items, texts, lambda i, t: i.withField("content", t)), lambda i: i["content"] != "")
+    named = path_title(F.coalesce("relative_path", F.lit("")))
+    return rows.withColumns({
+        "title": F.coalesce(F.nullif(search_text(F.coalesce(blank_to_null(F.col("title")), named)), F.lit("")), named),
+        "description": F.nullif(cut(search_text(blank_to_null(F.col("description"))), DESCRIPTION), F.lit("")),
+        "structured_data": F.when(data.isNotNull(), F.struct(with_text(data["headings"], F.col("_heads")).alias("headings"), with_text(data["contents"], F.col("_texts")).alias("contents"))),
+    }).drop("_heads", "_texts")
+
+
 def core_records(pages: DataFrame) -> DataFrame:
     """One record a page: title, description, category, page_group, url, breadcrumbs, the joined headings as content, keywords."""
     headings = F.coalesce(F.array_join(F.transform("structured_data.headings", lambda h: h["content"]), " · "), F.lit(""))
@@ -67,12 +89,11 @@ def _contents(column: str, fields: tuple[str, ...]) -> Column:
 def sections(pages: DataFrame, clean: bool = True) -> DataFrame:
     """A row for each section of each page: ``section_no`` (0 for the root section, then headings in order, then headings that only
     blocks name), ``heading`` ('' for the root), ``section_title`` and the distinct ``paragraphs`` in order of first appearance. Sections
-    without content stay, with no paragraphs. ``clean`` removes markup from the paragraphs first."""
+    without content stay, with no paragraphs. ``clean`` removes markup from the blocks first; it takes ``clean_pages``."""
     blocks = F.col("_blocks")
     rows = pages.withColumn("_blocks", _contents("structured_data.contents", ("heading", "content"))).withColumn("_heads", _contents("structured_data.headings", ("id", "content")))
     if clean:
-        plain = nfkc_array(F.transform(blocks, lambda b: b["content"]))
-        rows = rows.withColumn("_blocks", F.zip_with(blocks, plain, lambda b, t: F.struct(b["heading"].alias("heading"), strip_markup(t).alias("content"))))
+        rows = rows.withColumn("_blocks", F.transform(blocks, lambda b: F.struct(b["heading"].alias("heading"), strip_markup(b["content"]).alias("content"))))
     rows = rows.withColumn("_blocks", F.filter("_blocks", lambda b: b["content"] != ""))
     named = F.array_union(F.transform("_heads", lambda h: h["id"]), F.transform("_blocks", lambda b: b["heading"]))
     one = rows.select("*", F.posexplode(F.array_union(F.array(F.lit("")), named)).alias("section_no", "heading"))
@@ -87,7 +108,9 @@ def sections(pages: DataFrame, clean: bool = True) -> DataFrame:
 def body_records(pages: DataFrame, clean: bool = True) -> DataFrame:
     """The chunks of every section as records: one at least for each section, with empty content where it has none; the
     description only on the first chunk of the root section; all chunks of a section share its URL."""
-    rows = sections(pages, clean).withColumn("_chunks", greedy_chunks(F.col("paragraphs"))).drop("paragraphs")
+    rows = sections(pages, clean)
+    own = F.filter(F.transform("paragraphs", strip_markup), lambda p: p != "") if clean else F.col("paragraphs")
+    rows = rows.withColumn("paragraphs", own).withColumn("_chunks", greedy_chunks(F.col("paragraphs"))).drop("paragraphs")
     chunks = F.when(F.size("_chunks") == 0, F.array(F.lit(""))).otherwise(F.col("_chunks"))
     root = F.col("heading") == ""
     return rows.select("*", F.posexplode(chunks).alias("chunk_no", "content")).select(

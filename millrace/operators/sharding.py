@@ -7,7 +7,7 @@ takes the first level that fits. A unit stays where it is when others come and g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import fnv32, fnv_quarters
@@ -82,17 +82,24 @@ def record_parts(records: DataFrame, page: str, order: list[str], chars: str, ta
     return records.join(numbered.select(page, *[F.col(f"z._rows.{c}").alias(c) for c in order], F.col("z._parts").alias("part")), [page, *order])
 
 
-def split_oversized(records: DataFrame, shard: str, size: str, identity: Column, soft: int = SOFT, rounds: int = 24) -> DataFrame:
+def split_oversized(records: DataFrame, shard: str, size: str, identity: Column, order: list[str], soft: int = SOFT) -> DataFrame:
     """Records with the shards that are over ``soft`` bytes parted in two by a bit of a hash of ``identity``, again and again; a shard of one
-    record stays. ``shard`` gets a or b for each parting."""
-    out = records
-    for depth in range(rounds):
+    record stays. ``shard`` gets a or b for each parting. Where the bit parts nothing, as with equal identities, the first half by ``order``,
+    which must be total in a shard, is parted from the second, so each round makes smaller shards and none is left over."""
+    out, depth = records, 0
+    while True:
         totals = out.groupBy(shard).agg(F.sum(size).alias("_bytes"), F.count("*").alias("_n")).where((F.col("_bytes") > soft) & (F.col("_n") > 1)).select(shard, F.lit(True).alias("_over"))
         if totals.isEmpty():
             return out
-        bit = F.shiftrightunsigned(fnv32(F.concat(F.lit(f"{depth}:"), identity)), depth).bitwiseAND(F.lit(1))
-        out = write_shared(out.join(totals, shard, "left").withColumn(shard, F.when(F.col("_over"), F.concat(F.col(shard), F.when(bit == 0, "a").otherwise("b"))).otherwise(F.col(shard))).drop("_over"), "split")
-    return out
+        bit = F.shiftrightunsigned(fnv32(F.concat(F.lit(f"{depth}:"), identity)), depth % 32).bitwiseAND(F.lit(1))
+        large = write_shared(out.join(totals, shard, "left_semi").withColumn("_bit", bit), "large")
+        sides = large.groupBy(shard).agg((F.min("_bit") == F.max("_bit")).alias("_same"), F.count("*").alias("_n"))
+        own = large.join(sides, shard)
+        by_bit = own.where("NOT _same").withColumn("_second", F.col("_bit") == 1)
+        by_half = own.where("_same").withColumn("_second", F.row_number().over(Window.partitionBy(shard).orderBy(*order)) > F.ceil(F.col("_n") / 2))
+        parted = by_bit.unionByName(by_half).withColumn(shard, F.concat(F.col(shard), F.when(F.col("_second"), "b").otherwise("a"))).select(*out.columns)
+        out = write_shared(out.join(totals, shard, "left_anti").select(*parted.columns).unionByName(parted), "split")
+        depth += 1
 
 
 def guarded(shards: DataFrame, size: str = "bytes") -> DataFrame:

@@ -91,7 +91,7 @@ def group_search(spark: SparkSession, folder: str) -> DataFrame:
 def _record_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the current pages with the routing tokens of all text that is searched: titles, descriptions, headings, blocks, keywords
     and breadcrumbs. The queries over titles are bound to their SQL; these are the sets of the index."""
-    now = write_shared(current_pages(table(spark, folder, "doc_pages")), "pages")
+    now = write_shared(records.clean_pages(current_pages(table(spark, folder, "doc_pages"))), "pages")
     core = records.core_records(now).withColumn("record_id", F.concat_ws(":", F.lit("core"), "page_id", F.lit(0), F.lit(0)))
     body = records.body_records(now).withColumn("record_id", F.concat_ws(":", F.lit("body"), "page_id", "section_no", "chunk_no"))
     columns = ["record_id", "page_group", "url", text.routing_tokens(records.record_text()).alias("tokens")]
@@ -157,13 +157,20 @@ def core_records(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("page_id", "title", "description", F.array_join("breadcrumbs", "/").alias("breadcrumbs"), "content", "keywords", "url")
 
 
+def clean_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as the index takes them; headings and blocks joined."""
+    own = records.clean_pages(table(spark, folder, "doc_pages"))
+    text = lambda items: F.array_join(F.transform(items, lambda i: i["content"]), "\n")
+    return own.select("page_id", "title", "description", text("structured_data.headings").alias("headings"), text("structured_data.contents").alias("contents"))
+
+
 def page_sections(spark: SparkSession, folder: str) -> DataFrame:
     own = records.sections(table(spark, folder, "doc_pages"), clean=False)
     return own.select("page_id", "heading", "section_title", F.size("paragraphs").cast("bigint").alias("n_paragraphs"), F.array_join("paragraphs", "\n\n").alias("content"))
 
 
 def section_records(spark: SparkSession, folder: str) -> DataFrame:
-    return records.body_records(current_pages(table(spark, folder, "doc_pages")))
+    return records.body_records(records.clean_pages(current_pages(table(spark, folder, "doc_pages"))))
 
 
 def fixed_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +235,7 @@ FROM ids JOIN doc_pages USING (page_id) LEFT JOIN joined USING (page_id, heading
 QUERIES = {
     f.__name__: f
     for f in (
-        text_strip_markup, text_search_form, natural_chars, routing_tokens, document_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, group_search, core_records, page_sections, section_records,
+        text_strip_markup, text_search_form, natural_chars, routing_tokens, document_tokens, token_df, token_set_size, token_hashes, bloom_bits, bloom_packed, bloom_scores, group_rank, group_search, core_records, clean_pages, page_sections, section_records,
         record_token_df, record_token_set_size, record_token_hashes, record_bloom_bits, record_bloom_scores, record_group_rank, record_group_search,
         fixed_chunks, greedy_chunks, page_paths, frontmatter, first_headings, strip_mdx, heading_levels, publishable,
     )

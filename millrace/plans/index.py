@@ -9,7 +9,7 @@ from millrace.functions.text import routing_tokens
 from millrace.operators import index_build
 from millrace.operators.records import record_text
 from millrace.operators.relational import latest
-from millrace.operators.search import search
+from millrace.operators.search import Index, build, find
 from millrace.operators.sharding import LEVELS, stable_shards
 from millrace.plans import sqltext
 from millrace.plans.corpus import QUERY_STEP
@@ -57,15 +57,40 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return index_build.manifest(pages, files, index_build.routers(files, narrow), wide)
 
 
+#: Categories that a module of the site searches, by the category of the page a query is asked from. Fixed values.
+MODULES = {"politics": ("politics",), "english": ("english",), "math": ("math", "math-question-types"), "math-question-types": ("math", "math-question-types"), "408": ("408",)}
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def search_index(spark: SparkSession, folder: str) -> Index:
+    """The index of the pages of a folder, built and written once in a session; what is searched is what is written."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _indexes:
+        placed = _records(spark, folder)
+        records = write_shared(placed.select("kind", "shard", "category", F.col("owner").alias("page_group"), "record_id", "url", routing_tokens(record_text()).alias("tokens")), "tokens")
+        sizes = index_build.shard_files(placed).select("kind", "shard", "category", "page_group", F.col("gzip_bytes").alias("bytes"))
+        _indexes[key] = build(records, sizes)
+    return _indexes[key]
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages(spark, folder).where(F.col("page_id") % QUERY_STEP == 0)
+    modules = F.create_map(*[x for c, own in MODULES.items() for x in (F.lit(c), F.array(*map(F.lit, own)))])
+    return pages.select(F.col("page_id").alias("query_id"), F.col("title").alias("text"), F.col("category").alias("scope_category"), F.col("page_group").alias("scope_group"), F.try_element_at(modules, F.col("category")).alias("allowed"))
+
+
 def search_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """The results for the titles of every page whose id is divisible by 20, against all records of all pages."""
-    records = write_shared(index_build.sharded_records(_pages(spark, folder)).select("kind", "shard", "category", F.col("owner").alias("page_group"), "record_id", "url", "chars", routing_tokens(record_text()).alias("tokens")), "tokens")
-    shards = records.groupBy("kind", "shard", "category", "page_group").agg(F.sum("chars").alias("bytes"))
-    queries = _pages(spark, folder).where(F.col("page_id") % QUERY_STEP == 0).select(F.col("page_id").alias("query_id"), F.col("title").alias("text"), F.col("category").alias("scope_category"), F.col("page_group").alias("scope_group"))
-    return search(records, shards, queries)
+    """The results for the titles of every page whose id is divisible by 20, asked from that page, against all records of all pages."""
+    return find(search_index(spark, folder), _asked(spark, folder))
+
+
+def search_everywhere(spark: SparkSession, folder: str) -> DataFrame:
+    """The same queries asked from no page: the categories are chosen by their filters alone."""
+    none = F.lit(None).cast("string")
+    return find(search_index(spark, folder), _asked(spark, folder).select("query_id", "text", none.alias("scope_category"), none.alias("scope_group")))
 
 
-QUERIES = {f.__name__: f for f in (stable_page_shards, shard_files, router_files, category_entries, manifest, search_topk)}
+QUERIES = {f.__name__: f for f in (stable_page_shards, shard_files, router_files, category_entries, manifest, search_topk, search_everywhere)}
 _DIGITS = " || ".join(f"({sqltext.fnv32(f"('{d}:' || url)")} & 3)::VARCHAR" for d in range(LEVELS))
 SQL = {
     # the digits, every part of every level, the first level that fits, its path with x where a level parts nothing; then halves

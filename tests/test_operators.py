@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import routing_tokens
 from millrace.operators import bloom_index, cards, footprint, index_build, records, relational, sharding, trees
 from millrace.operators.merge import round_robin
-from millrace.operators.search import search
+from millrace.operators.search import _Asked, rank_categories, rank_shards, routed, search
+from millrace.operators.search import build as search_build
 from millrace.sources.shared import write_shared
 
 PAGE = "page_id long, url string, relative_path string, title string, description string, category string, page_group string, structured_data struct<headings:array<struct<id:string,content:string>>,contents:array<struct<content_id:long,heading:string,content:string>>>, updated timestamp"
@@ -62,34 +63,41 @@ def test_round_robin(spark):
     assert round_robin(df.limit(0), ["q"], "list_no", "place", "url", 4).collect() == []
 
 
-def reference_shards(units, target, depth=0, prefix=""):
-    """The recursive definition, by brute force."""
-    def low(s):
+def check_shards(units, shard_of, target):
+    """What shards of one owner must be: each unit's label spells the digits of its hash (x where its part isn't parted, a and b for halves by key
+    beyond the levels), a shard keeps the target or has one unit, and what a label's parent holds doesn't."""
+    def digit(level, key):
         h = 0x811C9DC5
-        for c in s:
+        for c in f"{level}:{key}":
             h = (h ^ ord(c)) * 0x01000193 % 2**32
-        return h & 3
-
-    if sum(c for _, c in units) <= target or len(units) <= 1:
-        return {k: prefix or "0" for k, _ in units}
-    if depth >= 12:
-        own = sorted(units)
-        half = -(-len(own) // 2)
-        return reference_shards(own[:half], target, depth + 1, prefix + "a") | reference_shards(own[half:], target, depth + 1, prefix + "b")
-    parts = defaultdict(list)
-    for k, c in units:
-        parts[low(f"{depth}:{k}")].append((k, c))
-    out = {}
-    for digit, part in sorted(parts.items()):
-        out |= reference_shards(part, target, depth + 1, prefix + ("x" if len(parts) == 1 else str(digit)))
-    return out
+        return str(h & 3)
+
+    size, held = dict(units), defaultdict(set)
+    if sum(size.values()) <= target or len(size) == 1:
+        assert set(shard_of.values()) == {"0"}
+        return
+    for key, label in shard_of.items():
+        for n in range(len(label) + 1):
+            held[label[:n]].add(key)
+    for key, label in shard_of.items():
+        own = held[label]
+        assert sum(size[k] for k in own) <= target or len(own) == 1
+        assert sum(size[k] for k in held[label[:-1]]) > target and len(held[label[:-1]]) > 1
+        for level, letter in enumerate(label):
+            together = held[label[:level]]
+            if level >= sharding.LEVELS:
+                order = sorted(together)
+                assert letter == ("a" if order.index(key) < -(-len(order) // 2) else "b")
+            else:
+                assert letter in (digit(level, key), "x") and (letter == "x") == (len({digit(level, k) for k in together}) == 1)
 
 
 def test_stable_shards(spark):
     owners = {"g": [(f"/docs/{i}", 100 + i % 37) for i in range(400)], "s": [("/a", 10)], "b": [("/b", 9_999)], "t": [("/c", 3_000), ("/d", 3_000)]}
     df = spark.createDataFrame([(o, k, c) for o, us in owners.items() for k, c in us], "owner string, key string, chars long")
     got = {(r.owner, r.key): r.shard_key for r in sharding.stable_shards(df, 5_000).collect()}
-    assert got == {(o, k): s for o, us in owners.items() for k, s in reference_shards(us, 5_000).items()}
+    for owner, units in owners.items():
+        check_shards(units, {k: s for (o, k), s in got.items() if o == owner}, 5_000)
     sums = Counter()
     for o, us in owners.items():
         for k, c in us:
@@ -105,8 +113,49 @@ def test_parts_and_splits(spark):
     got = {(r.page, r.no): r.part for r in sharding.record_parts(df, "page", ["no"], "chars", 100).collect()}
     assert [got[(1, i)] for i in range(5)] == [0, 0, 1, 1, 2] and [got[(2, i)] for i in range(2)] == [0, 1]
     many = spark.createDataFrame([("s", f"k{i}", 10) for i in range(50)] + [("t", "one", 999)], "shard string, k string, size int")
-    out = sharding.split_oversized(many, "shard", "size", F.col("k"), 100).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    out = sharding.split_oversized(many, "shard", "size", F.col("k"), ["k"], 100).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     assert all(r.b <= 100 or r.n == 1 for r in out) and sum(r.n for r in out) == 51
+    same = spark.createDataFrame([("s", "k", i, 10) for i in range(37)], "shard string, k string, no int, size int")
+    out = sharding.split_oversized(same, "shard", "size", F.col("k"), ["no"], 50).groupBy("shard").agg(F.sum("size").alias("b"), F.min("no").alias("a"), F.max("no").alias("z"), F.count("*").alias("n")).collect()
+    assert all(r.b <= 50 and r.z - r.a == r.n - 1 for r in out) and sum(r.n for r in out) == 37
+
+
+def test_clean_pages(spark):
+    df = spark.createDataFrame([
+        page(1, [("h1", "Sum $x$ of https://a.b/c rows"), ("h2", "$y$")], [("h1", "a \\< b and \\alpha text"), ("h2", "$$z$$"), (None, "ｆｕｌｌ width")], title="On $n$ \\(k\\) sums", description="about `x` https://x.y now"),
+        page(2, None, [], title=" $q$ "), page(3, [], [], title=None, description="$z$"),
+    ], PAGE)
+    one, two, three = records.clean_pages(df).orderBy("page_id").collect()
+    assert (one.title, one.description) == ("On sums", "about `x` now")
+    assert [h.content for h in one.structured_data.headings] == ["Sum of rows"] and [c.content for c in one.structured_data.contents] == ["a < b and text", "full width"]
+    assert two.title == "Untitled" and two.structured_data is None and three.title == "Untitled" and three.description is None
+
+
+def test_oversized_shards_are_parted(spark):
+    rows = [page(i, [], [(None, f"words {i} " + "abc " * 500)], page_group="math/a") for i in range(1, 13)]
+    df = spark.createDataFrame(rows, PAGE)
+    whole = index_build.sharded_records(df).groupBy("shard").count().collect()
+    parted = index_build.shard_files(index_build.sharded_records(df, 6_000)).collect()
+    assert len(parted) > len(whole) and all(f.bytes <= 6_000 or f.records == 1 for f in parted) and sum(f.records for f in parted) == sum(r["count"] for r in whole)
+    assert index_build.sharded_records(df.limit(0)).collect() == []
+
+
+def test_ranks_of_categories_and_shards(spark):
+    """The size term, scopes, modules, and a query without tokens, to which every shard of its categories is open."""
+    recs = [("body", f"s{i}", f"c{i % 6}", f"c{i % 6}/g", f"r{i}", f"/{i}", [f"w:word{i % 3}", "w:common"]) for i in range(24)]
+    df = spark.createDataFrame(recs, "kind string, shard string, category string, page_group string, record_id string, url string, tokens array<string>")
+    sizes = df.select("kind", "shard", "category", "page_group", F.when(F.col("shard") == "s0", 10_000_000).otherwise(100).alias("bytes"))
+    queries = spark.createDataFrame([(1, "word0", None, None, None), (2, "", "c1", "c1/g", None), (3, "common", None, None, ["c2", "c3"]), (4, "word0", "c0", "c0/g", None)], "query_id int, text string, scope_category string, scope_group string, allowed array<string>")
+    index = search_build(df, sizes)
+    given = queries.withColumn("tokens", routing_tokens(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
+    asked = _Asked(given.orderBy("query_id").collect())
+    kept = rank_categories(routed(index.wide, "category", asked), index.wide, given).collect()
+    by = {q: [r.category for r in sorted(kept, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3, 4)}
+    assert by[1] == ["c0", "c3", "c1", "c2"] and by[2][0] == "c1" and len(by[2]) == 4 and by[3] == ["c2", "c3"] and by[4][0] == "c0"
+    shards = rank_shards(routed(index.narrow, "shard", asked), index.narrow, given, {"body": 9}).collect()
+    ranks = {q: [r.shard for r in sorted(shards, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 4)}
+    assert ranks[1][-1] == "s0" and len(ranks[2]) == 9 and ranks[2][:4] == ["s1", "s13", "s19", "s7"]  # the large shard last; own group first
+    assert ranks[4][:4] == ["s12", "s18", "s6", "s0"]
 
 
 def test_index_and_search(spark):
