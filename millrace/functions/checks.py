@@ -111,3 +111,18 @@ def publish_key(existing: Column, slug: Column, identity: Column) -> Column:
     end of the id."""
     usable = F.when(slug.rlike(PUBLISH_KEY) & (F.length(slug) <= 96), slug).otherwise("document")
     return F.coalesce(F.nullif(existing, F.lit("")), F.concat(usable, F.lit("-"), F.right(identity, F.lit(6))))
+
+
+def signed(asked_key: Column, asked_type: Column, key: Column, content_type: Column, url: Column, expires: Column) -> Column:
+    """Whether the answer of a signer is for what was asked: the very key and type, a https address and a time that can be read."""
+    return holds((asked_key == key) & (asked_type == content_type) & url.startswith("https://")) & expires.try_cast("timestamp").isNotNull()
+
+
+def strong_secret(secret: Column, least: int = 16) -> Column:
+    """Whether a shared secret is long enough."""
+    return holds(F.length(secret) >= least)
+
+
+def account(collection: Column, value: Column, wanted: str) -> Column:
+    """The id of an authenticated record of the wanted collection, null for another or one without a proper id."""
+    return F.when(holds(collection == wanted) & holds(value.rlike(RECORD_ID)), value)

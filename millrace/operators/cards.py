@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What is left out of a card in each way to study.
@@ -14,6 +14,7 @@ def importance(label: Column) -> Column:
     return F.nullif(F.regexp_extract(label, "[0-9]+", 0), F.lit("")).try_cast("bigint")
 
 
+# What a range of importances is called.
 def _named(value: Column) -> Column:
     return F.when(value.isNull(), "重要性未标注").otherwise(F.concat(F.lit("重要性 "), value.cast("string")))
 
@@ -37,8 +38,13 @@ def outside(found: DataFrame) -> DataFrame:
 
 
 def gaps(ranges: DataFrame) -> DataFrame:
-    """Ranges that don't begin where the one before them ends. Ranges are few (modules of a course), so one window suffices."""
-    return ranges.withColumn("_before", F.lag("end", 1, 0).over(Window.orderBy("start"))).where("start != _before").drop("_before")
+    """Ranges that don't begin where the one before them, by ``start``, ends; the first is to begin at 0. Ranges are numbered by parts of the order
+    and joined with the one before, so no task holds all. Starts must differ."""
+    from millrace.operators.relational import numbered
+
+    rows = numbered(ranges, ["start"], "_no")
+    before = rows.select((F.col("_no") + 1).alias("_no"), F.col("end").alias("_before"))
+    return rows.join(before, "_no", "left").where("start != coalesce(_before, 0)").drop("_before", "_no")
 
 
 def percent(value: Column) -> Column:

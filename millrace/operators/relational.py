@@ -100,3 +100,13 @@ def unique(rows: DataFrame, key: list[str]) -> DataFrame:
 def only_candidate(rows: DataFrame, recent: Column, id_column: str) -> DataFrame:
     """The id of the one recent row, if there is exactly one; no row if there is none or several."""
     return rows.where(recent).agg(F.count("*").alias("n"), F.min(id_column).alias(id_column)).where("n = 1").select(id_column)
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: list[str], value: str) -> DataFrame:
+    """``rows`` with the value of their key; those without one are left out."""
+    return rows.join(values.select(*key, value), key, "left").where(F.col(value).isNotNull())
+
+
+def with_default(rows: DataFrame, values: DataFrame, key: list[str], value: str, default: Column) -> DataFrame:
+    """All ``rows`` with the value of their key, the default where there is none."""
+    return rows.join(values.select(*key, value), key, "left").withColumn(value, F.coalesce(F.col(value), default))

@@ -44,3 +44,16 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
             return out
         out = out.unionByName(level)
     raise ValueError(f"the tree is deeper than {depth} levels or has a cycle")
+
+
+def emit_order(roots: DataFrame, middle: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes of a tree of three levels with ``ordinal`` from 0: a root, then for each node below it its leaves and then the node itself.
+    ``keys`` name the levels; ``middle`` has the first two, ``leaves`` all. Numbered by ranges, so no task holds all nodes."""
+    from millrace.operators.relational import numbered
+
+    a, b, c = keys
+    own = lambda df, given: df.select(*[(F.col(k) if k in given else F.lit(None)).cast("bigint").alias(k) for k in keys])
+    rows = own(roots, [a]).unionByName(own(middle, [a, b])).unionByName(own(leaves, keys))
+    # a node comes after its leaves, a root before all below it: absent keys sort last and first
+    rows = rows.withColumns({"_b": F.coalesce(b, F.lit(-(1 << 62))), "_c": F.coalesce(c, F.lit((1 << 62)))})
+    return numbered(rows, [a, "_b", "_c"], "ordinal").select(*keys, F.col("ordinal").cast("bigint").alias("ordinal"))

@@ -111,14 +111,7 @@ def upsert_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = table(spark, folder, "publish_jobs").select("task", "version", "id", "status", "updated")
-    old, new = jobs.where("version = 1").distinct(), jobs.where("version <= 2 AND status = 'published'")
-    return relational.merged(old, new, ["task", "version"], [F.col("updated"), F.col("id")])
-
-
-def merged_all_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """All jobs after an upsert of the published ones by task and version: every version takes part, those of hot tasks too. ``merged_jobs``
-    is bound to its SQL, which has the first versions only."""
+    """All jobs after an upsert of the published ones by task and version: every version takes part, those of hot tasks too."""
     jobs = table(spark, folder, "publish_jobs").select("task", "version", "id", "status", "updated")
     done = F.coalesce(F.col("status") == "published", F.lit(False))
     return relational.merged(jobs.where(~done).distinct(), jobs.where(done), ["task", "version"], [F.col("updated"), F.col("id")])
@@ -193,11 +186,15 @@ def card_tones(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def study_views(spark: SparkSession, folder: str) -> DataFrame:
+    """What each way to study shows of each card: its texts, null where they are hidden, and its senses."""
     rows = table(spark, folder, "word_cards")
-    views = [cards.view(rows, mode).select("card_id", F.lit(mode).alias("mode"), F.lit("word" in cards.view(rows, mode).columns).alias("shows_word"), F.lit("meanings" in cards.view(rows, mode).columns).alias("shows_meanings")) for mode in cards.MODES]
-    out = views[0]
-    for v in views[1:]:
-        out = out.unionByName(v)
+    out = None
+    for mode in cards.MODES:
+        view = cards.view(rows, mode)
+        shown = lambda column, value: (value if column in view.columns else F.lit(None)).cast("string").alias(column)  # noqa: E731, B023
+        listed = lambda items, field: F.array_join(F.transform(items, lambda m: F.coalesce(m[field], F.lit(""))), "|")
+        own = view.select("card_id", F.lit(mode).alias("mode"), shown("word", F.col("word")), shown("phonetic", F.col("phonetic")), shown("meanings", listed("meanings", "text")), shown("senses", listed("senses", "gloss")))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
@@ -247,7 +244,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         size_buckets, extension_buckets, largest_files, file_total, duplicate_groups, top_duplicates, redundant_bytes, prune_total, copy_check, tasks_with_jobs, tasks_without_jobs, task_memberships, latest_job, next_version,
-        only_recent_job, event_ids, trigger_checks, artifact_keys, upsert_plan, merged_jobs, merged_all_jobs, status_swap, batch_plan, recent_documents, display_titles, publish_keys, region_rollup, nested_tree, tree_nodes, card_modules, module_gaps,
+        only_recent_job, event_ids, trigger_checks, artifact_keys, upsert_plan, merged_jobs, status_swap, batch_plan, recent_documents, display_titles, publish_keys, region_rollup, nested_tree, tree_nodes, card_modules, module_gaps,
         sense_shares, card_tones, study_views, first_meanings, merged_lists, user_countdown, page_urls_unique, job_outcomes, owner_titles,
     )
 }
@@ -272,8 +269,7 @@ SELECT u AS url, (x.title IS NOT DISTINCT FROM y.title AND x.description IS NOT
     "trigger_checks": "WITH t AS (SELECT *, coalesce(schema_version = 2 AND kind = 'task' AND regexp_full_match(task_record_id, '[a-z0-9]{15}') AND regexp_full_match(checksum, '[a-f0-9]{64}'), false) AS valid FROM task_enrich_events) SELECT delivery_id, valid, CASE WHEN valid THEN coalesce(build_md, true) END AS build_md, CASE WHEN valid THEN coalesce(build_pdf, true) END AS build_pdf FROM t",
     "artifact_keys": f"WITH j AS (SELECT *, coalesce(regexp_full_match(trim(task), '[a-z0-9]{{15}}') AND regexp_full_match(trim(id), '[a-z0-9]{{15}}') AND version BETWEEN 1 AND 999999999, false) AS valid FROM {_JOBS}) SELECT id, task, version, valid, CASE WHEN valid THEN 'documents/tasks/' || trim(task) || '/v' || version || '/messages/' || trim(id) || '/document.' || kind END AS blob_key, CASE kind WHEN 'md' THEN 'text/markdown; charset=utf-8' ELSE 'application/pdf' END AS content_type FROM j",
     "upsert_plan": "WITH p AS (SELECT url, page_id FROM doc_pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY updated DESC NULLS LAST, page_id DESC) = 1), e AS (SELECT url, min(doc_id) AS target_id FROM documents WHERE url IS NOT NULL GROUP BY url) SELECT url, page_id, target_id, CASE WHEN target_id IS NULL THEN 'insert' ELSE 'update' END AS action FROM p LEFT JOIN e USING (url)",
-    "merged_jobs": "WITH old AS (SELECT DISTINCT task, version, id, status, updated FROM publish_jobs WHERE version = 1), new AS (SELECT task, version, id, status, updated FROM publish_jobs WHERE version <= 2 AND status = 'published' QUALIFY row_number() OVER (PARTITION BY task, version ORDER BY updated DESC NULLS LAST, id DESC) = 1) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.task = old.task AND new.version = old.version) UNION ALL SELECT * FROM new",
-    "merged_all_jobs": "WITH jobs AS (SELECT task, version, id, status, updated, coalesce(status = 'published', false) AS done FROM publish_jobs), old AS (SELECT DISTINCT task, version, id, status, updated FROM jobs WHERE NOT done), new AS (SELECT task, version, id, status, updated FROM jobs WHERE done QUALIFY row_number() OVER (PARTITION BY task, version ORDER BY updated DESC NULLS LAST, id DESC NULLS LAST) = 1) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.task = old.task AND new.version = old.version) UNION ALL SELECT * FROM new",
+    "merged_jobs": "WITH jobs AS (SELECT task, version, id, status, updated, coalesce(status = 'published', false) AS done FROM publish_jobs), old AS (SELECT DISTINCT task, version, id, status, updated FROM jobs WHERE NOT done), new AS (SELECT task, version, id, status, updated FROM jobs WHERE done QUALIFY row_number() OVER (PARTITION BY task, version ORDER BY updated DESC NULLS LAST, id DESC NULLS LAST) = 1) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.task = old.task AND new.version = old.version) UNION ALL SELECT * FROM new",
     "status_swap": "SELECT id, task, version, CASE WHEN status = 'queued' THEN 'snapshotting' ELSE status END AS status, coalesce(status = 'queued', false) AS swapped FROM (SELECT DISTINCT id, task, version, status FROM publish_jobs)",
     "batch_plan": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents WHERE text <> ''",
     "recent_documents": "SELECT doc_id, strftime(updated AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM documents WHERE updated IS NOT NULL ORDER BY updated DESC, doc_id LIMIT 50",
@@ -286,9 +282,9 @@ SELECT u AS url, (x.title IS NOT DISTINCT FROM y.title AND x.description IS NOT
     "module_gaps": "WITH n AS (SELECT count(*) AS n FROM word_cards), r AS (SELECT format('module-{:02d}', i + 1) AS slug, i * 50 AS start, least((i + 1) * 50, n) AS \"end\" FROM n, LATERAL (SELECT unnest(range(0, (n + 49) // 50)) AS i)), k AS (SELECT *, coalesce(lag(\"end\") OVER (ORDER BY start), 0) AS b FROM r WHERE slug <> 'module-02') SELECT slug, start, \"end\" FROM k WHERE start <> b",
     "sense_shares": "WITH s AS (SELECT card_id, senses, unnest(senses) AS s, generate_subscripts(senses, 1) - 1 AS sense_no, list_sum(list_transform(senses, lambda x: greatest(coalesce(x.count, 0), 0))) AS total FROM word_cards), p AS (SELECT card_id, sense_no, s.gloss AS gloss, coalesce(s.percentage, CASE WHEN total <= 0 THEN 0.0 ELSE s.count / total * 100 END) AS v FROM s) SELECT card_id, sense_no, gloss, CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN 0 ELSE least(100, greatest(0, floor(least(greatest(v, -1), 101) + 0.5)))::INT END AS percentage FROM p",
     "card_tones": "SELECT card_id, ((row_number() OVER (ORDER BY card_id) - 1) % 7 + 1)::INT AS tone FROM word_cards",
-    "study_views": "SELECT card_id, mode, mode <> 'dictation' AS shows_word, mode <> 'translation' AS shows_meanings FROM word_cards, (SELECT unnest(['full', 'compact', 'dictation', 'translation']) AS mode)",
+    "study_views": "SELECT card_id, mode, CASE WHEN mode <> 'dictation' THEN word END AS word, CASE WHEN mode <> 'dictation' THEN phonetic END AS phonetic, CASE WHEN mode <> 'translation' THEN array_to_string(list_transform(meanings, lambda m: coalesce(m.text, '')), '|') END AS meanings, CASE WHEN mode = 'full' THEN array_to_string(list_transform(senses, lambda m: coalesce(m.gloss, '')), '|') END AS senses FROM word_cards, (SELECT unnest(['full', 'compact', 'dictation', 'translation']) AS mode)",
     "first_meanings": "SELECT card_id, CASE WHEN meanings IS NOT NULL THEN len(list_filter(meanings, lambda m: coalesce(m.key, false))) > 0 END AS any_key, CASE WHEN meanings IS NOT NULL THEN len(list_filter(meanings, lambda m: coalesce(m.phrase, false))) = len(meanings) END AS all_phrases, meanings[1].pos AS first_pos FROM word_cards",
-    "merged_lists": "WITH l AS (SELECT category, url, 0 AS list_no, row_number() OVER (PARTITION BY category ORDER BY updated DESC, page_id) AS place FROM doc_pages UNION ALL SELECT category, url, 1, row_number() OVER (PARTITION BY category ORDER BY title, page_id) FROM doc_pages), t AS (SELECT * FROM l WHERE place <= 100), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY category, url ORDER BY place, list_no) = 1) SELECT category, url, row_number() OVER (PARTITION BY category ORDER BY place, list_no) AS merged_rank FROM f QUALIFY merged_rank <= 36",
+    "merged_lists": "WITH l AS (SELECT category, url, 0 AS list_no, row_number() OVER (PARTITION BY category ORDER BY updated DESC, page_id) AS place FROM doc_pages UNION ALL SELECT category, url, 1, row_number() OVER (PARTITION BY category ORDER BY title, page_id) FROM doc_pages), f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY category, url ORDER BY place, list_no) = 1) SELECT category, url, row_number() OVER (PARTITION BY category ORDER BY place, list_no) AS merged_rank FROM f QUALIFY merged_rank <= 36",
     "page_urls_unique": "SELECT count(*) AS n, count(DISTINCT url) AS n_keys, count(*) = count(DISTINCT url) AS is_unique FROM doc_pages",
     "job_outcomes": "SELECT owner, CASE WHEN bool_or(coalesce(status = 'failed', false)) THEN 'failed' WHEN bool_and(coalesce(status = 'published', false)) THEN 'completed' WHEN max(version) >= 3 THEN 'expired' ELSE 'waiting' END AS outcome, count(*) AS n_jobs FROM (SELECT DISTINCT id, owner, status, version FROM publish_jobs) GROUP BY owner",
     "owner_titles": "WITH w AS (SELECT id, owner, string_split(coalesce(title, ''), ' ') AS a, string_split(coalesce(manual_title, ''), ' ') AS b FROM aw_tasks) SELECT id, list_sort(a) = list_sort(b) AS same, array_to_string(list_transform(list_filter(list_zip(list_concat(a, b), range(1, len(a) + len(b) + 1)), lambda z: list_position(list_concat(a, b), z[1]) = z[2]), lambda z: z[1]), ' ') AS words, owner || ' ' || id AS ids FROM w",

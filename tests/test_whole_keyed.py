@@ -22,7 +22,7 @@ def test_all_jobs_merge(spark, tmp_path):
         own = [r for r in rows if (r[2], r[3]) == key]
         done = [r for r in own if r[5] == "published"]
         want |= {(*key, r[0], r[5]) for r in ([max(done, key=lambda r: (r[6], r[0]))] if done else own)}
-    got = [(r.task, r.version, r.id, r.status) for r in keyed.merged_all_jobs(spark, str(tmp_path)).collect()]
+    got = [(r.task, r.version, r.id, r.status) for r in keyed.merged_jobs(spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and sum(t == "hot" for t, *_ in got) == 301
 
 
