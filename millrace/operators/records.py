@@ -33,7 +33,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     data = F.col("structured_data")
     rows = pages.withColumn("_heads", _searchable(F.transform(data["headings"], lambda h: h["content"]))).withColumn("_texts", _searchable(F.transform(data["contents"], lambda c: c["content"])))
     with_text = lambda items, texts: F.filter(F.zip_with(items, texts, lambda i, t: i.withField("content", t)), lambda i: i["content"] != "")
-    named = path_title(F.coalesce("relative_path", F.lit("")))
+    named = path_title(F.coalesce("relative_path", F.lit(""))) if "relative_path" in pages.columns else path_title(F.lit(""))
     return rows.withColumns({
         "title": F.coalesce(F.nullif(search_text(F.coalesce(blank_to_null(F.col("title")), named)), F.lit("")), named),
         "description": F.nullif(cut(search_text(blank_to_null(F.col("description"))), DESCRIPTION), F.lit("")),
