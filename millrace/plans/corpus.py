@@ -10,7 +10,7 @@ from millrace.operators import bloom_index, records
 from millrace.operators.index_build import current_pages
 from millrace.operators.search import scored
 from millrace.plans import sqltext
-from millrace.sources.shared import write_shared
+from millrace.sources.shared import remove_shared, write_shared
 from millrace.sources.tables import table
 
 #: Queries are the titles of every page whose id is divisible by this.
@@ -95,21 +95,22 @@ def _record_tokens(spark: SparkSession, folder: str) -> DataFrame:
     core = records.core_records(now).withColumn("record_id", F.concat_ws(":", F.lit("core"), "page_id", F.lit(0), F.lit(0)))
     body = records.body_records(now).withColumn("record_id", F.concat_ws(":", F.lit("body"), "page_id", "section_no", "chunk_no"))
     columns = ["record_id", "page_group", "url", text.routing_tokens(records.record_text()).alias("tokens")]
-    return write_shared(core.select(*columns).unionByName(body.select(*columns)), "record-tokens")
+    own = write_shared(core.select(*columns).unionByName(body.select(*columns)), "record-tokens")
+    remove_shared(now)
+    return own
 
 
-def _record_filters(own: DataFrame, only: DataFrame | None = None) -> DataFrame:
+def _record_filters(own: DataFrame) -> DataFrame:
     """The filters of the groups. A group is bounded no more than a category, so its filter has a category's bounds."""
     sets = write_shared(bloom_index.token_sets(own, ["page_group"], F.col("tokens")), "sets")
-    return bloom_index.filters(sets, ["page_group"], bloom_index.CATEGORY_BITS, only)
+    return bloom_index.filters(sets, ["page_group"], bloom_index.CATEGORY_BITS)
 
 
 def _record_scores(spark: SparkSession, folder: str, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The tokens of the queries, which are titles, and the score of each group."""
     titles = _titles(spark, folder).where(F.col("page_id") % QUERY_STEP == 0)
     asked = write_shared(titles.select(F.col("page_id").alias("query_id"), F.explode("tokens").alias("token")).distinct(), "asked")
-    wanted = write_shared(bloom_index.probes(asked, bloom_index.CATEGORY_BITS), "probes")
-    scores = bloom_index.scores(_record_filters(own, wanted), ["page_group"], asked, wanted)
+    scores = bloom_index.token_scores(own, "page_group", F.col("tokens"), asked, bloom_index.CATEGORY_BITS)
     return asked, scores.select("query_id", "page_group", F.round("score", 9).alias("score"))
 
 
@@ -149,6 +150,7 @@ def record_group_search(spark: SparkSession, folder: str) -> DataFrame:
     asked, scores = _record_scores(spark, folder, own)
     chosen = _record_rank(scores).select("query_id", F.lit("record").alias("kind"), F.col("page_group").alias("shard"), "rank")
     found = scored(own.withColumnRenamed("page_group", "shard"), chosen, asked)
+    remove_shared(own)  # what is scored is written by now
     return found.select("query_id", F.col("shard").alias("page_group"), "record_id", "bm25", F.col("position").cast("bigint").alias("position"))
 
 

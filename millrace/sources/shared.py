@@ -9,11 +9,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,14 @@ def write_shared(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def remove_shared(written: DataFrame) -> None:
+    """Removes a table of ``write_shared`` before the driver ends: one that nothing reads any more."""
+    _remove(written.sparkSession, _paths.pop(written))
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
@@ -49,12 +58,15 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone already; the folder is the cluster's to clean then
             pass
     _written.clear()
