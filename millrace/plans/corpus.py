@@ -10,7 +10,7 @@ from millrace.operators import bloom_index, records
 from millrace.operators.index_build import current_pages
 from millrace.operators.search import scored
 from millrace.plans import sqltext
-from millrace.sources.shared import remove_shared, write_shared
+from millrace.sources.shared import remove_shared, small_batches, write_shared
 from millrace.sources.tables import table
 
 #: Queries are the titles of every page whose id is divisible by this.
@@ -91,11 +91,13 @@ def group_search(spark: SparkSession, folder: str) -> DataFrame:
 def _record_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the current pages with the routing tokens of all text that is searched: titles, descriptions, headings, blocks, keywords
     and breadcrumbs. The queries over titles are bound to their SQL; these are the sets of the index."""
-    now = write_shared(records.clean_pages(current_pages(table(spark, folder, "doc_pages"))), "pages")
+    with small_batches(spark):
+        now = write_shared(records.clean_pages(current_pages(table(spark, folder, "doc_pages"))), "pages")
     core = records.core_records(now).withColumn("record_id", F.concat_ws(":", F.lit("core"), "page_id", F.lit(0), F.lit(0)))
     body = records.body_records(now).withColumn("record_id", F.concat_ws(":", F.lit("body"), "page_id", "section_no", "chunk_no"))
     columns = ["record_id", "page_group", "url", text.routing_tokens(records.record_text()).alias("tokens")]
-    own = write_shared(core.select(*columns).unionByName(body.select(*columns)), "record-tokens")
+    with small_batches(spark):
+        own = write_shared(core.select(*columns).unionByName(body.select(*columns)), "record-tokens")
     remove_shared(now)
     return own
 

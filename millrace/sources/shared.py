@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,18 @@ def write_shared(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Arrow batches of fewer rows for what is written inside: long texts and lists of them are held by the JVM and by Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove_shared(written: DataFrame) -> None:
     """Removes a table of ``write_shared`` before the driver ends: one that nothing reads any more."""
     _remove(written.sparkSession, _paths.pop(written))
