@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from millrace.plans import sqltext
 from millrace.sources.shared import remove_shared, small_batches, write_shared
 from millrace.sources.tables import table
 
-#: Queries are the titles of every page whose id is divisible by this.
+#: Queries are the titles of every page whose id is divisible by this; ``record_group_search`` as registered asks with all titles.
 QUERY_STEP = 20
 
 
@@ -108,12 +110,21 @@ def _record_filters(own: DataFrame) -> DataFrame:
     return bloom_index.filters(sets, ["page_group"], bloom_index.CATEGORY_BITS)
 
 
-def _record_scores(spark: SparkSession, folder: str, own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tokens of the queries, which are titles, and the score of each group."""
-    titles = _titles(spark, folder).where(F.col("page_id") % QUERY_STEP == 0)
-    asked = write_shared(titles.select(F.col("page_id").alias("query_id"), F.explode("tokens").alias("token")).distinct(), "asked")
+def _record_scores(spark: SparkSession, folder: str, own: DataFrame, step: int = QUERY_STEP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The queries, which are the titles of every page whose id ``step`` divides, with the first query of the same tokens (query_id, first), and of
+    these first ones, which alone are asked, the tokens and the score of each group."""
+    titles = _titles(spark, folder).where(F.col("page_id") % step == 0).select(F.col("page_id").alias("query_id"), F.explode("tokens").alias("token"))
+    sets = titles.groupBy("query_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    firsts = write_shared(sets.groupBy("tokens").agg(F.min("query_id").alias("first")), "asked")
+    same = write_shared(sets.join(firsts, "tokens").select("query_id", "first"), "same")
+    asked = firsts.select(F.col("first").alias("query_id"), F.explode("tokens").alias("token"))
     scores = bloom_index.token_scores(own, "page_group", F.col("tokens"), asked, bloom_index.CATEGORY_BITS)
-    return asked, scores.select("query_id", "page_group", F.round("score", 9).alias("score"))
+    return same, asked, scores.select("query_id", "page_group", F.round("score", 9).alias("score"))
+
+
+def _for_all(found: DataFrame, same: DataFrame) -> DataFrame:
+    """What was found for the first query of the same tokens, for each of these queries."""
+    return found.withColumnRenamed("query_id", "first").join(same, "first").select("query_id", *[c for c in found.columns if c != "query_id"])
 
 
 def _record_rank(scores: DataFrame) -> DataFrame:
@@ -139,21 +150,23 @@ def record_bloom_bits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record_bloom_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _record_scores(spark, folder, _record_tokens(spark, folder))[1]
+    same, _, scores = _record_scores(spark, folder, _record_tokens(spark, folder))
+    return _for_all(scores, same)
 
 
 def record_group_rank(spark: SparkSession, folder: str) -> DataFrame:
     return _record_rank(record_bloom_scores(spark, folder))
 
 
-def record_group_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The best ten records in each of the nine best groups of each query."""
+def record_group_search(spark: SparkSession, folder: str, step: int = QUERY_STEP) -> DataFrame:
+    """The best ten records in each of the nine best groups of each query, which are the titles of every page whose id ``step`` divides. The
+    registered query has step 1: the titles of all pages."""
     own = _record_tokens(spark, folder)
-    asked, scores = _record_scores(spark, folder, own)
+    same, asked, scores = _record_scores(spark, folder, own, step)
     chosen = _record_rank(scores).select("query_id", F.lit("record").alias("kind"), F.col("page_group").alias("shard"), "rank")
     found = scored(own.withColumnRenamed("page_group", "shard"), chosen, asked)
     remove_shared(own)  # what is scored is written by now
-    return found.select("query_id", F.col("shard").alias("page_group"), "record_id", "bm25", F.col("position").cast("bigint").alias("position"))
+    return _for_all(found.select("query_id", F.col("shard").alias("page_group"), "record_id", "bm25", F.col("position").cast("bigint").alias("position")), same)
 
 
 def core_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,7 +256,7 @@ QUERIES = {
         record_token_df, record_token_set_size, record_token_hashes, record_bloom_bits, record_bloom_scores, record_group_rank, record_group_search,
         fixed_chunks, greedy_chunks, page_paths, frontmatter, first_headings, strip_mdx, heading_levels, publishable,
     )
-}
+} | {"record_group_search": partial(record_group_search, step=1)}
 SQL = {
     "text_strip_markup": f"SELECT doc_id, CASE WHEN len(regexp_extract_all(c, '[\\p{{L}}\\p{{N}}]')) >= 2 THEN c ELSE '' END AS clean FROM (SELECT doc_id, {sqltext.strip_markup('text')} AS c FROM documents)",
     "natural_chars": r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}]'))::BIGINT AS n FROM documents",
