@@ -52,6 +52,13 @@ def strip_markup(text: Column) -> Column:
     return F.when(F.regexp_count(clean, F.lit(LETTER)) >= 2, clean).otherwise("")
 
 
+def strip_each(texts: Column) -> Column:
+    """``strip_markup`` of each text of an array. What is left is bound by a lambda: inside of one an expression that stands twice is evaluated twice;
+    and the second letter or digit is looked for instead of counting all."""
+    left = F.transform(texts, lambda t: F.trim(reduce(lambda t, step: F.regexp_replace(t, F.lit(step[0]), F.lit(step[1])), MARKUP, F.coalesce(t, F.lit("")))))
+    return F.transform(left, lambda t: F.when(t.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}]"), t).otherwise(""))
+
+
 def search_text(text: Column) -> Column:
     """``strip_markup`` of the NFKC form. Not idempotent: removing one formula can leave another, so apply it as often as meant."""
     return strip_markup(nfkc(F.coalesce(text, F.lit(""))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import path_title
-from millrace.functions.text import blank_to_null, cut, nfkc_array, search_text, strip_markup
+from millrace.functions.text import blank_to_null, cut, nfkc_array, search_text, strip_each
 
 #: Code points of a chunk, of the heading summary of a core record, of a description.
 CHUNK, SUMMARY, DESCRIPTION = 6_000, 600, 300
@@ -22,7 +22,7 @@ def breadcrumbs(category: Column) -> Column:
 
 def _searchable(texts: Column) -> Column:
     """Texts of an array as search text, with escaped angle brackets as they are meant."""
-    return F.transform(nfkc_array(F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\\<"), F.lit("<")))), strip_markup)
+    return strip_each(nfkc_array(F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\\<"), F.lit("<")))))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -93,7 +93,8 @@ def sections(pages: DataFrame, clean: bool = True) -> DataFrame:
     blocks = F.col("_blocks")
     rows = pages.withColumn("_blocks", _contents("structured_data.contents", ("heading", "content"))).withColumn("_heads", _contents("structured_data.headings", ("id", "content")))
     if clean:
-        rows = rows.withColumn("_blocks", F.transform(blocks, lambda b: F.struct(b["heading"].alias("heading"), strip_markup(b["content"]).alias("content"))))
+        stripped = strip_each(F.transform(blocks, lambda b: b["content"]))
+        rows = rows.withColumn("_blocks", F.zip_with(blocks, stripped, lambda b, t: F.struct(b["heading"].alias("heading"), t.alias("content"))))
     rows = rows.withColumn("_blocks", F.filter("_blocks", lambda b: b["content"] != ""))
     named = F.array_union(F.transform("_heads", lambda h: h["id"]), F.transform("_blocks", lambda b: b["heading"]))
     one = rows.select("*", F.posexplode(F.array_union(F.array(F.lit("")), named)).alias("section_no", "heading"))
@@ -109,7 +110,7 @@ def body_records(pages: DataFrame, clean: bool = True) -> DataFrame:
     """The chunks of every section as records: one at least for each section, with empty content where it has none; the
     description only on the first chunk of the root section; all chunks of a section share its URL."""
     rows = sections(pages, clean)
-    own = F.filter(F.transform("paragraphs", strip_markup), lambda p: p != "") if clean else F.col("paragraphs")
+    own = F.filter(strip_each(F.col("paragraphs")), lambda p: p != "") if clean else F.col("paragraphs")
     rows = rows.withColumn("paragraphs", own).withColumn("_chunks", greedy_chunks(F.col("paragraphs"))).drop("paragraphs")
     chunks = F.when(F.size("_chunks") == 0, F.array(F.lit(""))).otherwise(F.col("_chunks"))
     root = F.col("heading") == ""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_record_tokens import PAGES, brute_records, folder, groups, tokens  # noqa: F401
 
+from millrace.functions import text
 from millrace.operators import bloom_index
 from millrace.plans import corpus
 
@@ -54,3 +55,10 @@ def test_shares_in_blocks(spark, monkeypatch, most):
     got = bloom_index._shares(rows(held, "owner string, token string"), rows(asked, "query_id bigint, token string")).collect()
     want = {(q, o): len(set(t) & set(h)) / len(t) for q, t in asked.items() for o, h in held.items() if set(t) & set(h)}
     assert {(r.query_id, r.owner): r.score for r in got} == want and len(got) == len(want)
+
+
+def test_each_text_is_stripped_as_alone(spark):
+    texts = ["", " a ", "a b", "a\n" + "-" * 9_000 + "\n1", "é", "特征", "٣٤", "$x$ a $$\n$$ b", "```\ncode\n``` ok", "\\frac{a}{b} n", None]
+    rows = spark.createDataFrame([(i, [t]) for i, t in enumerate(texts)] + [(99, None), (100, [])], "i int, texts array<string>")
+    want = rows.select("i", F.when(F.col("texts").isNotNull(), F.transform("texts", text.strip_markup)).alias("t"))
+    assert sorted(rows.select("i", text.strip_each(F.col("texts")).alias("t")).collect()) == sorted(want.collect())
